@@ -16,6 +16,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Every ASCII byte but letters and digits sets words apart; bytes of longer characters never do.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -69,11 +71,11 @@ class Slice:
         h = (self._run[ends] - self._run[starts]) * self._down[starts]
         return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and documents of all words, a word being a run of other bytes than white space."""
+    def words(self, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and documents of all words, a word being a run of bytes that are not ``apart`` (white space)."""
         if not len(self.data):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        inside = ~_SPACE[self.data]
+        inside = ~apart[self.data]
         before = np.empty_like(inside)
         before[0], before[1:] = False, inside[:-1]
         full = self.offsets[1:] > self.offsets[:-1]
