@@ -11,10 +11,11 @@ from corpusql.llm.packing import op7_bestfit_packing
 from corpusql.llm.repetition import op3_quality_repetition
 from corpusql.llm.secrets import op5_secret_scan
 from corpusql.llm.setjoin import op2_ngram_jaccard
+from corpusql.llm.suffixdedup import op8_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_ngram_jaccard, op3_quality_repetition, op5_secret_scan, op7_bestfit_packing, op10_decontamination]
+    found = [op2_ngram_jaccard, op3_quality_repetition, op5_secret_scan, op7_bestfit_packing, op8_suffix_dedup, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
