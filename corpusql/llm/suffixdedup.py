@@ -34,7 +34,7 @@ from corpusql.llm.textops import Slice, mix, slices, spans_union
 
 DEPTH, GRAM = 400, 128
 #: Different contexts of one anchor that a bucket takes; bytes of contexts in a bucket.
-HOT, BUCKET_BYTES = 4096, 4 << 20
+HOT, BUCKET_BYTES = 4096, 2 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -126,9 +126,10 @@ def _contexts(held: DataFrame, depth: int, gram: int) -> DataFrame:
         seen: set[bytes] = set()
         for batch in batches:
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            wanted, rows = batch.column(3), []
+            wanted = batch.column(3)
             for s in slices(batch.column(2)):
                 doc, h, low, high = anchors(s, depth, gram)
+                rows = []
                 for d in range(s.n_docs):
                     a, b = np.searchsorted(doc, [d, d + 1])
                     want = wanted[s.first + d].values.to_numpy().view(np.uint64)
@@ -139,10 +140,10 @@ def _contexts(held: DataFrame, depth: int, gram: int) -> DataFrame:
                         seen.add(name)
                         c1, c2 = int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
                         rows.append((k1[s.first + d], k2[s.first + d], int(h[i].view(np.int64)), c1, c2, int(low[i] - s.offsets[d]), int(high[i] - low[i]) + 1, data if fresh else None))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k1", "k2", "h", "c1", "c2", "start", "starts", "bytes"])
+                if rows:
+                    columns = list(zip(*rows, strict=True))
+                    kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k1", "k2", "h", "c1", "c2", "start", "starts", "bytes"])
 
     return held.mapInArrow(each, schema)
 
@@ -192,7 +193,7 @@ def _removed(depth: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k1, k2, text, found in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for k1, k2, text, found in (tuple(batch.column(k)[i].as_py() for k in range(4)) for i in range(batch.num_rows)):
                 data = text.encode()
                 flat = [(x["start"] + a, x["start"] + b + depth) for x in found for a, b in zip(x["runs"][::2], x["runs"][1::2], strict=True)]
                 a, b = spans_union(np.array([x[0] for x in flat], np.int64), np.array([x[1] for x in flat], np.int64))
@@ -226,9 +227,9 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT,
     contexts = spark.read.parquet(path)
 
     # Different contexts, how often each was met, and how many its anchor has.
-    names = contexts.groupBy("h", "c1", "c2").agg(F.count("*").alias("met"))
+    names = contexts.groupBy("h", "c1", "c2").agg(F.count("*").alias("met"), F.max("starts").alias("starts"))
     many = names.groupBy("h").agg(F.count("*").alias("different")).where("different > 1")
-    whole = contexts.join(names.where("met > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").where("bytes is not null").select("c1", "c2", F.array(F.lit(0).cast("long"), (F.col("starts") - 1).cast("long")).alias("runs"))
+    whole = names.where("met > 1").select("c1", "c2", F.array(F.lit(0).cast("long"), (F.col("starts") - 1).cast("long")).alias("runs"))
     open_ = contexts.where("bytes is not null").select("h", "c1", "c2", "starts", "bytes").join(many, "h")
     size = contexts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-size // bucket_bytes))
