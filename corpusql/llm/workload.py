@@ -11,13 +11,16 @@ from corpusql.llm.packing import op7_bestfit_packing
 from corpusql.llm.repetition import op3_quality_repetition
 from corpusql.llm.secrets import op5_secret_scan
 from corpusql.llm.setjoin import op2_ngram_jaccard
+from corpusql.llm.sharding import op6_jump_sharding
 from corpusql.llm.suffixdedup import op8_suffix_dedup
+from corpusql.llm.toxicity import op4_toxicity
+from corpusql.llm.warc import OP9_SQL, op9_warc_roundtrip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_ngram_jaccard, op3_quality_repetition, op5_secret_scan, op7_bestfit_packing, op8_suffix_dedup, op10_decontamination]
+    found = [op2_ngram_jaccard, op3_quality_repetition, op4_toxicity, op5_secret_scan, op6_jump_sharding, op7_bestfit_packing, op8_suffix_dedup, op9_warc_roundtrip, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc_roundtrip": OP9_SQL}
