@@ -241,13 +241,22 @@ def _best(net: Network, words: Words, doc: np.ndarray, ids: np.ndarray) -> np.nd
     return order[np.append(doc[order][1:] != doc[order][:-1], True)]
 
 
-def train_on(labelled: DataFrame, most_clean: tuple[int, int] = MOST_CLEAN, most_toxic: tuple[int, int] = MOST_TOXIC) -> Network:
-    """From (doc_id, text, toxic): a bounded sample to the driver, and the network trained on it."""
-    share = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    rows = []
+def train_on(docs: DataFrame, labels: DataFrame, most_clean: tuple[int, int] = MOST_CLEAN, most_toxic: tuple[int, int] = MOST_TOXIC) -> Network:
+    """From documents and labels (doc_id, toxic): a bounded sample to the driver, and the network trained on it.
+
+    The sample is drawn among ids and text lengths; only its own texts, looked up by a broadcast of at most
+    as many ids as the bounds allow, are moved.
+    """
+    spark = docs.sparkSession
+    share = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    narrow = docs.select("doc_id", F.octet_length("text").alias("_bytes")).join(labels, "doc_id")
+    rows: list = []
     for label, (most, most_bytes) in enumerate((most_clean, most_toxic)):
-        fits = labelled.where((F.col("toxic") == label) & F.octet_length("text").between(1, most_bytes))
-        rows += fits.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "toxic").collect()
+        fits = narrow.where((F.col("toxic") == label) & F.col("_bytes").between(1, most_bytes)).select("doc_id")
+        ids = fits.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        wanted = F.broadcast(spark.createDataFrame(ids, "doc_id bigint"))
+        found = docs.where(F.octet_length("text").between(1, most_bytes)).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text")).orderBy("doc_id")
+        rows += [(r[1], label) for r in found.collect()]
     return fit([r[0] for r in rows], [r[1] for r in rows], share)
 
 
@@ -268,6 +277,6 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out).dropDuplicates(["doc_id"])
-    net = train_on(docs.select("doc_id", "text").join(labels, "doc_id"))
+    net = train_on(docs.select("doc_id", "text"), labels)
     scored = score(docs, net)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -2,7 +2,7 @@
 
 Writing. Of pages with equal payloads the one with the largest page_id is the response and the others revisit it. A
 record is one row of text and the writer's line separator is the blank line that ends a record, so the files in the
-shared folder are plain WARC 1.0, a bounded number of records each.
+shared folder are WARC 1.0 under gzip, a bounded number of records each.
 
 Reading. A file's bytes are searched for the version line, which payloads may hold too. Every place found is a candidate
 whose header names its successor's offset. Starting from offset 0, pointer jumping over (file, offset, successor) marks
@@ -16,6 +16,7 @@ page_id are all responses. Extra columns are ignored; white space in a URL is pe
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -64,7 +65,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, records_in_file: int = RECORDS_IN_FILE) -> None:
-    records(pages).select("record").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_in_file).text(path)
+    records(pages).select("record").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_in_file).text(path, compression="gzip")
 
 
 _FIELD = re.compile(rb"([A-Za-z-]+): *([^\r\n]*)")
@@ -102,6 +103,7 @@ def candidates(files: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 name, raw, rows, at = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), [], 0
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
                 while (at := raw.find(VERSION, at)) >= 0:
                     if found := _candidate(memoryview(raw), raw, at):
                         rows.append((name, at, *found))
