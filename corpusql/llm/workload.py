@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusql.llm.decontaminate import op10_decontamination
 from corpusql.llm.packing import op7_bestfit_packing
+from corpusql.llm.pii import op1_personal_data
 from corpusql.llm.repetition import op3_quality_repetition
 from corpusql.llm.secrets import op5_secret_scan
 from corpusql.llm.setjoin import op2_ngram_jaccard
@@ -18,7 +19,7 @@ from corpusql.llm.warc import OP9_SQL, op9_warc_roundtrip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_ngram_jaccard, op3_quality_repetition, op4_toxicity, op5_secret_scan, op6_jump_sharding, op7_bestfit_packing, op8_suffix_dedup, op9_warc_roundtrip, op10_decontamination]
+    found = [op1_personal_data, op2_ngram_jaccard, op3_quality_repetition, op4_toxicity, op5_secret_scan, op6_jump_sharding, op7_bestfit_packing, op8_suffix_dedup, op9_warc_roundtrip, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
