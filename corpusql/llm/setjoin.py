@@ -5,9 +5,11 @@ similarity t or more share at least ceil(t / (1 + t) * (a + b)) elements.
 
 * Light sets (at most ``boundary`` elements): every set lists all its subsets of exactly that many elements, once for
   each size a partner may have; two linked sets list a common subset.
-* Heavy sets: elements are dealt into H + 1 blocks by their hash, H being the most elements in which two linked sets of
-  that size class can differ. By the pigeonhole principle linked sets agree on a whole block, so posting lists are kept
-  for blocks: a list of a block is short where a list of a single shingle may hold a third of the corpus.
+* Heavy sets: elements are dealt into H + 1 + r blocks by their hash, H being the most elements in which two linked sets
+  of that size class can differ. By the pigeonhole principle linked sets agree on r + 1 whole blocks, so posting lists
+  are kept for blocks: a list of a block is short where a list of a single shingle may hold a third of the corpus. A set
+  leaves out its blocks of few elements, up to a count of elements that at most r of its blocks have; of two linked sets
+  the one that leaves out more leaves out all that the other does, r at most, so a common block is listed by both.
 * The boundary is where the expected number of keys is least, from the histogram of set sizes.
 
 Equal sets are one class before anything else. Classes that share a key hang together with the least class of that key
@@ -38,6 +40,8 @@ from corpusql.llm.textops import Slice, mix, slices, windows
 
 #: A cluster over TILE classes or TILE_ELEMENTS elements is verified tile by tile.
 TILE, TILE_ELEMENTS = 2048, 4_000_000
+#: Spare blocks as a part of H.
+SPARE = 0.3
 #: Sizes up to here may be light: beyond it, subsets of a set outnumber any posting lists.
 MOST_LIGHT = 24
 
@@ -57,7 +61,7 @@ class Keys:
     def __init__(self, percent: int, boundary: int):
         self.percent, self.boundary = percent, boundary
         self._plans: dict[int, list] = {}
-        self._blocks: dict[int, list[tuple[int, int]]] = {}
+        self._blocks: dict[int, list[tuple[int, int, int]]] = {}
 
     def partners(self, n: int) -> range:
         return range(-(-self.percent * n // 100), 100 * n // self.percent + 1)
@@ -82,11 +86,11 @@ class Keys:
                 return k
             k, low = k + 1, high + 1
 
-    def blocks(self, n: int) -> list[tuple[int, int]]:
-        """(class, number of blocks): for partners in its own class or below, and for partners in the class above."""
+    def blocks(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, blocks, spare blocks): for partners in its own class or below, and for partners in the class above."""
         if n not in self._blocks:
             k = self.size_class(n)
-            self._blocks[n] = [(j, self._differ(j) + 1) for j in (k, k + 1)]
+            self._blocks[n] = [(j, self._differ(j) + 1, int(SPARE * self._differ(j))) for j in (k, k + 1)]
         return self._blocks[n]
 
     def _differ(self, k: int) -> int:
@@ -101,7 +105,7 @@ class Keys:
         return sum(math.comb(n, left) for _, left in self.subsets(n))
 
     def heavy_cost(self, n: int) -> int:
-        return sum(k for _, k in self.blocks(n))
+        return sum(k for _, k, _ in self.blocks(n))
 
     def of(self, elements: np.ndarray) -> np.ndarray:
         """All keys of one set (sorted, distinct uint64)."""
@@ -114,7 +118,8 @@ class Keys:
                 out.append(mix((total - sums) ^ mix(np.array([tag], np.uint64))))
         if n * 100 > self.percent * self.boundary:  # it may have a heavy partner
             values = mix(elements)
-            for k, parts in self.blocks(n):
+            for k, parts, spare in self.blocks(n):
+                parts += spare
                 part = (elements >> np.uint64(33)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
                 run = np.zeros(n + 1, np.uint64)
@@ -122,7 +127,9 @@ class Keys:
                 edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
                 sums = run[edges[1:]] - run[edges[:-1]]
                 tags = mix(np.arange(parts, dtype=np.uint64) + np.uint64((k + 1) * 1_000_000_007))
-                out.append(mix(sums ^ tags))
+                held = np.diff(edges)
+                few = np.sort(held)[spare] if spare else 0  # blocks with fewer elements than this are spare at most
+                out.append(mix(sums ^ tags)[held >= few])
         return np.concatenate(out)
 
 
