@@ -5,12 +5,15 @@ similarity t or more share at least ceil(t / (1 + t) * (a + b)) elements.
 
 * Light sets (at most ``boundary`` elements): every set lists all its subsets of exactly that many elements, once for
   each size a partner may have; two linked sets list a common subset.
-* Heavy sets: elements are dealt into H + 1 + r blocks by their hash, H being the most elements in which two linked sets
-  of that size class can differ. By the pigeonhole principle linked sets agree on r + 1 whole blocks, so posting lists
-  are kept for blocks: a list of a block is short where a list of a single shingle may hold a third of the corpus. A set
-  leaves out its blocks of few elements, up to a count of elements that at most r of its blocks have; of two linked sets
-  the one that leaves out more leaves out all that the other does, r at most, so a common block is listed by both.
-* The boundary is where the expected number of keys is least, from the histogram of set sizes.
+* Heavy sets: one order of all elements, the rarest first, and a posting list for each of a set's first n - c + 1
+  elements, c being the fewest elements that a set of n shares with any partner: of two linked sets the least common
+  element is among the first of both. An element of one set only needs no list. Elements are dealt by hash into
+  buckets, five bytes each, and counted there (a bucket answers only with elements that occur twice); each set then
+  knows how many of its elements are its own, and most sets have enough of them to have no list at all. Five bytes and
+  the bucket name an element: where two agree, they count as one in every set, which adds candidates and loses none.
+* Hot elements, at least one in 2**18 of all occurrences, are never sent to a bucket: they end the order, and a set
+  lists the few it needs at once. Their number is bounded by 2**18, so their table is broadcast.
+* The boundary is where the expected cost of keys is least, from the histogram of set sizes.
 
 Equal sets are one class before anything else. Classes that share a key hang together with the least class of that key
 (a star, never all pairs); the components of these stars are candidate clusters, which hold every link whole. A cluster
@@ -40,8 +43,12 @@ from corpusql.llm.textops import Slice, mix, slices, windows
 
 #: A cluster over TILE classes or TILE_ELEMENTS elements is verified tile by tile.
 TILE, TILE_ELEMENTS = 2048, 4_000_000
-#: Spare blocks as a part of H.
-SPARE = 0.3
+#: Elements of one bucket and of one batch that is dealt; a batch's counts from LOCAL_HOT on add up to those of hot elements.
+BUCKET, BATCH, LOCAL_HOT = 1_000_000, 2_000_000, 8
+#: The most hot elements; at one in so many of all occurrences an element is hot.
+HOT = 1 << 18
+#: Rows (28 bytes each) up to which the members of clusters are broadcast; beyond it the texts are shuffled to them.
+MOST_BROADCAST = 1_000_000
 #: Sizes up to here may be light: beyond it, subsets of a set outnumber any posting lists.
 MOST_LIGHT = 24
 
@@ -61,7 +68,6 @@ class Keys:
     def __init__(self, percent: int, boundary: int):
         self.percent, self.boundary = percent, boundary
         self._plans: dict[int, list] = {}
-        self._blocks: dict[int, list[tuple[int, int, int]]] = {}
 
     def partners(self, n: int) -> range:
         return range(-(-self.percent * n // 100), 100 * n // self.percent + 1)
@@ -77,62 +83,45 @@ class Keys:
             self._plans[n] = plan
         return self._plans[n]
 
-    def size_class(self, n: int) -> int:
-        """Classes [l, u] with u = l * 100 / percent: linked sets are in one class or in two neighbouring ones."""
-        k, low = 0, 1
-        while True:
-            high = max(low, 100 * low // self.percent)
-            if n <= high:
-                return k
-            k, low = k + 1, high + 1
-
-    def blocks(self, n: int) -> list[tuple[int, int, int]]:
-        """(class, blocks, spare blocks): for partners in its own class or below, and for partners in the class above."""
-        if n not in self._blocks:
-            k = self.size_class(n)
-            self._blocks[n] = [(j, self._differ(j) + 1, int(SPARE * self._differ(j))) for j in (k, k + 1)]
-        return self._blocks[n]
-
-    def _differ(self, k: int) -> int:
-        """The most elements in which linked sets can differ whose larger class is k."""
-        low, high = 1, max(1, 100 // self.percent)
-        for _ in range(k):
-            low = high + 1
-            high = max(low, 100 * low // self.percent)
-        return 2 * high - 2 * _ratio(self.percent, high, high)
+    def prefix(self, n):
+        """How many of the first elements of a set of n are listed: n (an array or a number) less the fewest that partners share, and one."""
+        return n - _ratio(self.percent, n, -(-self.percent * n // 100)) + 1
+
+    def is_heavy(self, n):
+        """Whether a set of n elements may have a partner over the boundary, or is one itself."""
+        return n * 100 > self.percent * self.boundary
 
     def light_cost(self, n: int) -> int:
         return sum(math.comb(n, left) for _, left in self.subsets(n))
 
     def heavy_cost(self, n: int) -> int:
-        return sum(k for _, k, _ in self.blocks(n))
-
-    def of(self, elements: np.ndarray) -> np.ndarray:
-        """All keys of one set (sorted, distinct uint64)."""
-        n, out = len(elements), []
-        if n <= self.boundary:
-            values = mix(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-            total = values.sum(dtype=np.uint64)
-            for tag, left in self.subsets(n):
-                sums = np.array([sum(map(int, c)) & 0xFFFFFFFFFFFFFFFF for c in combinations(values, left)], np.uint64) if left else np.zeros(1, np.uint64)
-                out.append(mix((total - sums) ^ mix(np.array([tag], np.uint64))))
-        if n * 100 > self.percent * self.boundary:  # it may have a heavy partner
-            values = mix(elements)
-            for k, parts, spare in self.blocks(n):
-                parts += spare
-                part = (elements >> np.uint64(33)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                run = np.zeros(n + 1, np.uint64)
-                np.cumsum(values[order], out=run[1:])
-                edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-                sums = run[edges[1:]] - run[edges[:-1]]
-                tags = mix(np.arange(parts, dtype=np.uint64) + np.uint64((k + 1) * 1_000_000_007))
-                held = np.diff(edges)
-                few = np.sort(held)[spare] if spare else 0  # blocks with fewer elements than this are spare at most
-                out.append(mix(sums ^ tags)[held >= few])
+        return self.prefix(n) + n // 4  # a dealt element takes a quarter of a key's bytes
+
+    def light(self, elements: np.ndarray) -> np.ndarray:
+        """The keys of all listed subsets of one light set (distinct uint64)."""
+        values = mix(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        total, out = values.sum(dtype=np.uint64), [np.zeros(0, np.uint64)]
+        for tag, left in self.subsets(len(elements)):
+            sums = np.array([sum(map(int, c)) & 0xFFFFFFFFFFFFFFFF for c in combinations(values, left)], np.uint64) if left else np.zeros(1, np.uint64)
+            out.append(mix((total - sums) ^ mix(np.array([tag], np.uint64))))
         return np.concatenate(out)
 
 
+class HotElements:
+    """The hot elements by hash, with their counts."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray):
+        order = np.argsort(names)
+        self.names, self.counts = names[order], counts[order]
+
+    def count(self, elements: np.ndarray) -> np.ndarray:
+        """Of each element its count, 0 where it is not hot."""
+        if not len(self.names):
+            return np.zeros(len(elements), np.int64)
+        at = np.minimum(np.searchsorted(self.names, elements), len(self.names) - 1)
+        return np.where(self.names[at] == elements, self.counts[at], 0)
+
+
 def boundary_by_cost(percent: int, histogram: dict[int, int]) -> int:
     """The boundary with the fewest keys in all, given how many sets have each size."""
     every = Keys(percent, MOST_LIGHT)
@@ -169,50 +158,175 @@ def shingle_sets(s: Slice, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _digests(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, size of the set and two sums that name the set."""
+    """doc_id, size of the set and two sums that name the set; also rows of size null, d1 an element and d2 its count in a batch."""
+    names = ["doc_id", "n_shingles", "d1", "d2"]
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, count = np.unique(np.concatenate(held), return_counts=True)
+        found, count = found[count >= LOCAL_HOT], count[count >= LOCAL_HOT]
+        none = pa.nulls(len(found), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(found.view(np.int64)), pa.array(count)], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             n, one, two = [], [], []
             for s in slices(batch.column(1)):
                 keys, at = shingle_sets(s, k)
                 n.append(np.diff(at))
+                held.append(keys)
+                size += len(keys)
+                if size >= BATCH:
+                    yield often(held)
+                    held, size = [], 0
                 for salt, out in ((0x1234567, one), (0x89ABCDEF, two)):
                     run = np.zeros(len(keys) + 1, np.uint64)
                     np.cumsum(mix(keys ^ np.uint64(salt)), out=run[1:])
                     out.append((run[at[1:]] - run[at[:-1]]).view(np.int64))
             if n:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], ["doc_id", "n_shingles", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names)
+        if size:
+            yield often(held)
 
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint")
 
 
-def _keys(docs: DataFrame, k: int, keys: Keys) -> DataFrame:
-    """(key, doc_id) for every key of every set; within a task, equal sets are listed once, under any of their rows."""
+def _own_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Ids and sets, in batches of BATCH elements or little more; within a task equal sets come once, under any of their rows."""
+    seen: set[bytes] = set()
+    ids, sets, size = [], [], 0
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        for s in slices(batch.column(1)):
+            found, at = shingle_sets(s, k)
+            for d in np.flatnonzero(np.diff(at) > 0):
+                own = found[at[d] : at[d + 1]]
+                name = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                if names[s.first + d] is None or name in seen:
+                    continue
+                seen.add(name)
+                ids.append(names[s.first + d])
+                sets.append(own)
+                size += len(own)
+            if size >= BATCH:
+                yield ids, sets
+                ids, sets, size = [], [], 0
+    if ids:
+        yield ids, sets
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, all low bytes first: planes of zeros cost nothing."""
+    x = np.diff(x, prepend=x.dtype.type(0))
+    return pa.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = pa.decompress(data, n * width, codec="zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(width, n).T.copy().view(kind).ravel(), dtype=kind)
+
+
+def _direct_keys(docs: DataFrame, k: int, keys: Keys, hot) -> DataFrame:
+    """(key, doc_id) of light sets' subsets, and of the hot elements among the first of a heavy set."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            ids = np.asarray(batch.column(0).fill_null(0))
-            known = np.asarray(batch.column(0).is_valid())
-            for s in slices(batch.column(1)):
-                sets, at = shingle_sets(s, k)
-                found, owner = [], []
-                for d in np.flatnonzero(np.diff(at) > 0):
-                    own = sets[at[d] : at[d + 1]]
-                    if known[s.first + d]:
-                        name = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                        if name in seen:
-                            continue
-                        seen.add(name)
-                        found.append(keys.of(own))
-                        owner.append(np.full(len(found[-1]), ids[s.first + d]))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "doc_id"])
+        table: HotElements = hot.value
+        for ids, sets in _own_sets(batches, k):
+            found, owner = [], []
+            for doc, own in zip(ids, sets, strict=True):
+                n, mine = len(own), []
+                if n <= keys.boundary:
+                    mine.append(keys.light(own))
+                if keys.is_heavy(n):
+                    count = table.count(own)
+                    some = np.flatnonzero(count)
+                    need = keys.prefix(n) - (n - len(some))
+                    if need > 0:
+                        first = some[np.lexsort((own[some], count[some]))[:need]]
+                        mine.append(mix(own[first] ^ np.uint64(0x4F1BBCDCBFA53E0A)))
+                for x in mine:
+                    found.append(x)
+                    owner.append(np.full(len(x), doc))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(each, "key bigint, doc_id bigint")
 
 
+def _dealt(docs: DataFrame, k: int, keys: Keys, hot, buckets: int) -> DataFrame:
+    """Elements of heavy sets that are not hot, by bucket: (bucket, n docs, their ids, spared and counts, and five bytes an element).
+
+    spared: how many of the set's elements beyond its own ones need no list, the last in the order.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: HotElements = hot.value
+        for ids, sets in _own_sets(batches, k):
+            size = np.array([len(x) for x in sets])
+            chosen = np.flatnonzero(keys.is_heavy(size))
+            if not len(chosen):
+                continue
+            chosen = chosen[np.argsort(np.array(ids)[chosen], kind="stable")]
+            names, size = np.array(ids)[chosen], size[chosen]
+            elements, owner = np.concatenate([sets[i] for i in chosen]), np.repeat(np.arange(len(chosen)), size)
+            rare = table.count(elements) == 0
+            elements, owner = elements[rare], owner[rare]
+            spared = np.bincount(owner, minlength=len(chosen)) - keys.prefix(size)
+            bucket = ((elements >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            elements, owner, bucket = elements[order], owner[order], bucket[order]
+            five = elements.view(np.uint8).reshape(-1, 8)[:, :5]
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            rows = []
+            for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
+                own, count = np.unique(owner[a:b], return_counts=True)
+                rows.append((int(bucket[a]), len(own), _planes(names[own].astype(np.int64)), _planes(spared[own].astype(np.int32)), _planes(count.astype(np.int32)), five[a:b].tobytes()))
+            if rows:
+                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "n", "ids", "spared", "counts", "elements"])
+
+    return docs.select("doc_id", "text").mapInArrow(each, "bucket int, n int, ids binary, spared binary, counts binary, elements binary")
+
+
+def _shared_elements(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket's elements those that occur twice, packed by document with their counts."""
+    ids, spared, counts, values = [], [], [], []
+    for row in frame.itertuples():
+        ids.append(_numbers(row.ids, row.n, np.int64))
+        spared.append(_numbers(row.spared, row.n, np.int32))
+        counts.append(_numbers(row.counts, row.n, np.int32))
+        wide = np.zeros((len(row.elements) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(row.elements, np.uint8).reshape(-1, 5)
+        values.append(wide.view(np.uint64).ravel())
+    ids, spared, counts, values = map(np.concatenate, (ids, spared, counts, values))
+    doc = np.repeat(np.arange(len(ids)), counts)
+    _, place, often = np.unique(values, return_inverse=True, return_counts=True)
+    often = often[place]
+    twice = np.flatnonzero(often > 1)
+    doc, often = doc[twice], often[twice]
+    keys = mix(values[twice] ^ (np.uint64(int(frame["bucket"].iloc[0])) << np.uint64(40)))
+    packed = np.empty(len(twice), [("key", np.uint64), ("often", np.uint32)])
+    packed["key"], packed["often"] = keys, often
+    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(doc))
+    return pd.DataFrame({"doc_id": ids[doc[at]], "spared": spared[doc[at]], "packed": [packed[a:b].tobytes() for a, b in zip(at, ends, strict=True)]})
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id): of each set its shared elements but for the ``spared`` most frequent ones."""
+    for batch in batches:
+        found, owner = [], []
+        for doc, spared, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = np.frombuffer(b"".join(packed), [("key", np.uint64), ("often", np.uint32)])
+            if len(own) > spared:
+                order = np.lexsort((own["key"], own["often"]))[: len(own) - max(0, spared)]
+                found.append(np.unique(own["key"][order]))
+                owner.append(np.full(len(found[-1]), doc))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "doc_id"])
+
+
 def _products(sets: list[np.ndarray], rows: int, most: int = 8_000_000) -> Iterator[np.ndarray]:
     """0/1 matrices of the sets (rows) over elements that occur twice or more, a few columns at a time."""
     lengths = [len(x) for x in sets]
@@ -268,13 +382,21 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = 3, tile: int = TIL
     """doc_id, n_shingles, component_id, n_links (documents linked with this one) for each row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digests = cut(_digests(docs, k))
+    found = cut(_digests(docs, k))
+    digests = found.where("n_shingles is not null")
+    total = digests.agg(F.sum("n_shingles")).first()[0] or 0
+    hot_rows = found.where("n_shingles is null").groupBy("d1").agg(F.sum("d2").alias("n")).where(F.col("n") * HOT >= total).collect()  # at most HOT
+    hot = spark.sparkContext.broadcast(HotElements(np.array([r[0] for r in hot_rows], np.int64).view(np.uint64), np.array([r[1] for r in hot_rows], np.int64)))
     classes = digests.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     small = classes.where(F.col("n_shingles") <= MOST_LIGHT).groupBy("n_shingles").count().collect()
     keys = Keys(percent, boundary_by_cost(percent, {r[0]: r[1] for r in small}))
     of_doc = digests.join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "class_id", "copies", "n_shingles")
     of_doc = cut(of_doc)
-    listed = _keys(docs, k, keys)
+    parts = max(shuffle_partitions(spark), 16)
+    buckets = max(4 * parts, -(-total // BUCKET))
+    shared = _dealt(docs, k, keys, hot, buckets).groupBy("bucket").applyInPandas(_shared_elements, "doc_id bigint, spared int, packed binary")
+    by_doc = shared.groupBy("doc_id").agg(F.max("spared").alias("spared"), F.collect_list("packed").alias("packed"))
+    listed = cut(by_doc.mapInArrow(_lists, "key bigint, doc_id bigint").unionByName(_direct_keys(docs, k, keys, hot)))
     stars = listed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
     edges = listed.join(stars, "key").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     to_class = of_doc.select("doc_id", "class_id").where("doc_id <> class_id").distinct()
@@ -286,8 +408,10 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = 3, tile: int = TIL
     sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("elements"))
     sizes = sizes.withColumn("tiles", F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("elements") / tile_elements)).cast("int"))
     members = cut(members.join(sizes.select("cluster", "tiles"), "cluster"))
-    texts = docs.join(members.withColumnRenamed("class_id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    parts = max(shuffle_partitions(spark), 16)
+    wanted = members.withColumnRenamed("class_id", "doc_id")
+    if wanted.count() <= MOST_BROADCAST:  # then only the members' texts move
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, "doc_id").dropDuplicates(["doc_id"])
     texts = texts.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     lone = texts.where("tiles = 1").withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(parts * 4)))
     exact = lone.groupBy("task").applyInPandas(_verify(percent, k), "class_id bigint, component bigint, links bigint")
