@@ -49,6 +49,8 @@ BUCKET, BATCH, LOCAL_HOT = 1_000_000, 2_000_000, 8
 HOT = 1 << 18
 #: Rows (28 bytes each) up to which the members of clusters are broadcast; beyond it the texts are shuffled to them.
 MOST_BROADCAST = 1_000_000
+#: Edges of one part of which a spanning forest is kept.
+EDGES = 250_000
 #: Sizes up to here may be light: beyond it, subsets of a set outnumber any posting lists.
 MOST_LIGHT = 24
 
@@ -289,6 +291,9 @@ def _dealt(docs: DataFrame, k: int, keys: Keys, hot, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(each, "bucket int, n int, ids binary, spared binary, counts binary, elements binary")
 
 
+_PACKED = np.dtype([("low", np.uint8, 5), ("often", np.uint16)])
+
+
 def _shared_elements(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket's elements those that occur twice, packed by document with their counts."""
     ids, spared, counts, values = [], [], [], []
@@ -305,12 +310,12 @@ def _shared_elements(frame: pd.DataFrame) -> pd.DataFrame:
     often = often[place]
     twice = np.flatnonzero(often > 1)
     doc, often = doc[twice], often[twice]
-    keys = mix(values[twice] ^ (np.uint64(int(frame["bucket"].iloc[0])) << np.uint64(40)))
-    packed = np.empty(len(twice), [("key", np.uint64), ("often", np.uint32)])
-    packed["key"], packed["often"] = keys, often
+    packed = np.zeros(len(twice), _PACKED)
+    packed["low"] = values[twice].view(np.uint8).reshape(-1, 8)[:, :5]
+    packed["often"] = np.minimum(often, 0xFFFF)  # beyond it the order is by key alone
     at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
     ends = np.append(at[1:], len(doc))
-    return pd.DataFrame({"doc_id": ids[doc[at]], "spared": spared[doc[at]], "packed": [packed[a:b].tobytes() for a, b in zip(at, ends, strict=True)]})
+    return pd.DataFrame({"doc_id": ids[doc[at]], "spared": spared[doc[at]], "bucket": int(frame["bucket"].iloc[0]), "packed": [packed[a:b].tobytes() for a, b in zip(at, ends, strict=True)]})
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,10 +323,14 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found, owner = [], []
         for doc, spared, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = np.frombuffer(b"".join(packed), [("key", np.uint64), ("often", np.uint32)])
+            own = np.frombuffer(b"".join(x["packed"] for x in packed), _PACKED)
             if len(own) > spared:
-                order = np.lexsort((own["key"], own["often"]))[: len(own) - max(0, spared)]
-                found.append(np.unique(own["key"][order]))
+                bucket = np.repeat(np.array([x["bucket"] for x in packed], np.uint64), [len(x["packed"]) // _PACKED.itemsize for x in packed])
+                low = np.zeros((len(own), 8), np.uint8)
+                low[:, :5] = own["low"]
+                names = mix(low.view(np.uint64).ravel() ^ (bucket << np.uint64(40)))
+                order = np.lexsort((names, own["often"]))[: len(own) - max(0, spared)]
+                found.append(np.unique(names[order]))
                 owner.append(np.full(len(found[-1]), doc))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "doc_id"])
@@ -378,6 +387,30 @@ def _forest(adjacent: np.ndarray, names_a: np.ndarray, names_b: np.ndarray) -> l
     return edges
 
 
+def _fewer_edges(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components: a spanning forest of each part. A set has no more edges than keys, so parts by b have no hot one."""
+    edges = cut(edges)
+    parts = max(4, edges.count() // EDGES)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+        for batch in batches:
+            kept = []
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = parent.setdefault(a, a), parent.setdefault(b, b)
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                while parent[y] != y:
+                    parent[y] = y = parent[parent[y]]
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    kept.append((a, b))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], ["a", "b"])
+
+    return edges.repartition(parts, "b").mapInArrow(each, "a bigint, b bigint")
+
+
 def jaccard_join(docs: DataFrame, percent: int = 90, k: int = 3, tile: int = TILE, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents linked with this one) for each row of ``docs``."""
     spark = docs.sparkSession
@@ -394,11 +427,12 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = 3, tile: int = TIL
     of_doc = cut(of_doc)
     parts = max(shuffle_partitions(spark), 16)
     buckets = max(4 * parts, -(-total // BUCKET))
-    shared = _dealt(docs, k, keys, hot, buckets).groupBy("bucket").applyInPandas(_shared_elements, "doc_id bigint, spared int, packed binary")
-    by_doc = shared.groupBy("doc_id").agg(F.max("spared").alias("spared"), F.collect_list("packed").alias("packed"))
+    shared = _dealt(docs, k, keys, hot, buckets).groupBy("bucket").applyInPandas(_shared_elements, "doc_id bigint, spared int, bucket int, packed binary")
+    by_doc = shared.groupBy("doc_id").agg(F.max("spared").alias("spared"), F.collect_list(F.struct("bucket", "packed")).alias("packed"))
     listed = cut(by_doc.mapInArrow(_lists, "key bigint, doc_id bigint").unionByName(_direct_keys(docs, k, keys, hot)))
     stars = listed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
     edges = listed.join(stars, "key").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    edges = _fewer_edges(edges)
     to_class = of_doc.select("doc_id", "class_id").where("doc_id <> class_id").distinct()
     for side in ("a", "b"):
         edges = edges.join(to_class.withColumnRenamed("doc_id", side), side, "left").withColumn(side, F.coalesce("class_id", side)).drop("class_id")
