@@ -5,12 +5,13 @@ Four of them, with fixed validity rules, are the base, and their valid spans alw
 base misses (written-out addresses, local phone numbers, identity numbers, account numbers, long numbers) and propose
 freely, overlaps included. Every candidate gets format features (digits, separators, length, check sum, neighbours) and a
 context feature (a cue word in the forty characters before it). Boosted trees of depth two are fitted to these and
-become one CASE expression; a family's threshold is the least score that reaches PRECISION in the training sample, and
-where none does the family selects nothing. A selected span that overlaps a base span is dropped.
+become one CASE expression; a family's threshold is the least score that reaches PRECISION over at least SUPPORT
+candidates. A family without one, as a rare kind's, selects by the labels' own rule (cue word and check sum). A selected
+span that overlaps a base span is dropped.
 
-Training labels are weak: base candidates by their validity rules, others by their cue word and check sum. The sample is
-all candidates of at most SAMPLE documents, the first by a hash of their id; the driver gets only counts of its distinct
-feature vectors. Every text is scanned whole.
+Training labels are weak: base candidates by their validity rules, others by their cue word and check sum. Training
+counts the candidates of all documents; the driver gets only counts of the distinct feature vectors, whose number is
+bounded by the features' small ranges. Every text is scanned whole.
 
 Null and empty texts have no spans. Repeated rows get equal results. Extra columns are ignored.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corpusql.llm.common import table
 
-SAMPLE, TREES, RATE, PRECISION = 5000, 24, 0.3, 0.95
+TREES, RATE, PRECISION, SUPPORT = 24, 0.3, 0.95, 20
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,8 @@ class Generator:
 # A run's first match begins where the run does or where the last match ended, so the others need not be tried: with
 # these guards and possessive repeats a text without blanks takes linear time.
 _DIGITS = r"[0-9]{3}|[0-9]\.[0-9]"
+# An account's last group may be short; after a blank it must hold a digit, so that it is no word.
+_TAIL = r"(?:[A-Z0-9]{1,3}|\x20(?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})"
 GENERATORS = (
     Generator("email", 0, r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", base=True),
     Generator("ip", 1, r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", base=True),
@@ -50,7 +53,7 @@ GENERATORS = (
     Generator("mail_words", 0, r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{1,64}){1,8}", r"[(\[]at[)\]]"),
     Generator("local_phone", 3, r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", _DIGITS),
     Generator("identity", 4, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]"),
-    Generator("account", 5, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
+    Generator("account", 5, rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20?[A-Z0-9]{{4}}){{3,7}}{_TAIL}?|(?:\x20?[A-Z0-9]{{4}}){{2}}{_TAIL})(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
     Generator("number", 2, r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9A-Za-z])", r"[0-9](?:[\x20-]?[0-9]){11}"),
 )
 CUES = r"e-?mail|mail|phone|tel|call|mobile|card|visa|account|iban|bank|ssn|social|passport|identity|contact|reach"
@@ -168,11 +171,11 @@ class Trees:
         order = np.argsort(-score, kind="stable")
         score, good, every = score[order], np.cumsum((count * y)[order]), np.cumsum(count[order])
         last = np.append(score[1:] != score[:-1], True)
-        fits = np.flatnonzero(last & (good >= precision * every) & (every >= 20))
+        fits = np.flatnonzero(last & (good >= precision * every) & (every >= SUPPORT))
         return float(score[fits[-1]]) if len(fits) else None
 
     def chosen(self, x: Column) -> Column:
-        """Whether a candidate's score reaches its family's threshold."""
+        """Whether a candidate's score reaches its family's threshold; without one, whether its label is sure."""
 
         def value(tree) -> Column:
             if not isinstance(tree, tuple):
@@ -186,7 +189,7 @@ class Trees:
         for family, t in self.thresholds.items():
             if t is not None:
                 least = F.when(x["family"] == family, F.lit(t - 1e-9)).otherwise(least)
-        return F.coalesce(score >= least, F.lit(False))
+        return F.coalesce(score >= least, x["sure"])
 
 
 def _candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -197,10 +200,9 @@ def _candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, *(featured(F.col("_text"), i, g, F.col(f"_{g.kind}")).alias(g.kind) for i, g in enumerate(GENERATORS)))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees fitted to the candidates of at most ``sample`` documents."""
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = _candidates(docs.join(F.broadcast(ids), "doc_id"), [])
+def train(docs: DataFrame) -> Trees:
+    """Trees fitted to the candidates of all documents."""
+    rows = _candidates(docs, [])
     every = rows.select(F.explode(F.concat(*(g.kind for g in GENERATORS))).alias("x"))
     counts = every.groupBy(*(F.col(f"x.{k}").alias(k) for k in FEATURES), F.col("x.sure").cast("int").alias("sure")).count().collect()
     table = np.array(sorted(map(tuple, counts)), np.int64).reshape(-1, len(FEATURES) + 2)

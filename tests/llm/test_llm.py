@@ -180,6 +180,21 @@ def test_personal_data(spark):
     assert [r.ok for r in one] == [True, False, False]
 
 
+def test_personal_data_of_rare_kinds(spark):
+    rare = [(-1, "her ssn is 123-45-6789 here"), (-2, "iban DE89 3704 0044 0532 0130 00 AND more"), (-3, "iban NO9386011117947, paid"), (-4, "part 123-45-6789 of the list")]
+    rows = rare + [(k, f"mail a{k}.b@c.de now") for k in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in pii.personal_spans(d, pii.train(d)).where("doc_id < 0").collect()}
+    assert got == {-1: [("identity", 11, 22)], -2: [("account", 5, 32)], -3: [("account", 5, 20)], -4: []}
+
+
+def test_personal_data_trains_on_all_documents(spark):
+    d = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 < 2, F.lit("ssn 123-45-6789")).otherwise(F.lit("plain")).alias("text"))
+    trees = pii.train(d)
+    assert trees.thresholds[4] is not None
+    assert pii.personal_spans(d, trees).where("size(spans) = 1").count() == 40
+
+
 def test_toxicity_learns_words_and_defines_empty_texts():
     rng = random.Random(2)
     vocab = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
