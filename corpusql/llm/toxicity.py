@@ -4,9 +4,10 @@ A word enters as a hashed word vector beside the mean of its hashed character tr
 beginning every STRIDE words and a last one at the text's end, overlap; each is read by a GRU in either direction, its
 states are pooled by attention, and a text's score is that of its most toxic window, calibrated on the training texts.
 
-Training sees texts and labels of the given rows only: at most MOST_TOXIC and MOST_CLEAN of either label, the first by
-a hash of their id, of at most so many bytes each (bounds of the sample; scoring reads every text whole). First every window takes
-its text's label; then, as in multiple-instance learning, only the most toxic window of each text does, so that clean
+Training sees texts and labels of the given rows only: at most MOST_TOXIC and MOST_CLEAN texts of either label, the
+first by a hash of their id, of any length, and at most so many windows of them. Where their windows are more, the
+longest texts give fewer, drawn evenly over the whole text (bounds of the sample; scoring reads every text whole). First
+every window takes its text's label; then, as in multiple-instance learning, only the most toxic window of each text does, so that clean
 windows of toxic texts no longer count as toxic. The weights (2 MB) go to the tasks as a broadcast.
 
 Null and empty texts score the training rows' share of toxic ones. Repeated rows get equal scores. No labels, or labels of
@@ -22,41 +23,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import table
+from corpusql.llm.common import cut, table
 from corpusql.llm.textops import PUNCTUATION, Slice, slices
 
 WINDOW, STRIDE, HIDDEN, WIDTH = 32, 24, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 13
-#: (texts, bytes of each) that training takes of either label.
-MOST_CLEAN, MOST_TOXIC, SEED = (3000, 12_000), (1000, 4_000), 11
+#: (texts, windows of all of them) that training takes of either label.
+MOST_CLEAN, MOST_TOXIC, SEED = (3000, 150_000), (1000, 50_000), 11
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _windows(n: np.ndarray) -> np.ndarray:
+    """How many windows texts of n words have."""
+    return np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(int))
+
+
 class Words:
-    """The distinct words of a slice: rows of their word vectors, and of their trigrams' vectors end to end."""
-
-    def __init__(self, s: Slice):
-        starts, ends, self.docs = s.words(PUNCTUATION)
-        s.sums(fold=True)
-        names, first, self.ids = np.unique(s.hashes(starts, ends), return_index=True, return_inverse=True)
-        starts, ends = starts[first], ends[first]
-        self.rows = (names % np.uint64(WORD_ROWS)).astype(np.int64)
-        n = np.maximum(ends - starts - 2, 1)
-        self.count = n
-        at = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        grams = s.hashes(at, np.minimum(at + 3, np.repeat(ends, n)))
-        grams[np.cumsum(n) - n] ^= np.uint64(0x5851F42D4C957F2D)  # a word's first trigram is another than the same inside
-        self.grams = (grams % np.uint64(CHAR_ROWS)).astype(np.int64)
-        self.n_docs = s.n_docs
+    """The distinct words of some slices: rows of their word vectors, and of their trigrams' vectors end to end."""
+
+    def __init__(self, *parts: Slice):
+        names, ids, docs, counts, grams, n_docs = [], [], [], [], [], 0
+        for s in parts:  # only one slice's hashes are held at a time
+            starts, ends, of = s.words(PUNCTUATION)
+            s.sums(fold=True)
+            own, first, inverse = np.unique(s.hashes(starts, ends), return_index=True, return_inverse=True)
+            starts, ends = starts[first], ends[first]
+            n = np.maximum(ends - starts - 2, 1)
+            at = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found = s.hashes(at, np.minimum(at + 3, np.repeat(ends, n)))
+            found[np.cumsum(n) - n] ^= np.uint64(0x5851F42D4C957F2D)  # a word's first trigram is another than the same inside
+            del s._run, s._down
+            ids.append(inverse + sum(map(len, names)))
+            names.append(own)
+            docs.append(of + n_docs)
+            counts.append(n)
+            grams.append((found % np.uint64(CHAR_ROWS)).astype(np.int64))
+            n_docs += s.n_docs
+        every, first, inverse = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        self.rows = (every % np.uint64(WORD_ROWS)).astype(np.int64)
+        self.ids, self.docs, self.n_docs = inverse[np.concatenate(ids)], np.concatenate(docs), n_docs
+        n = np.concatenate(counts)
+        begin, self.count = (np.cumsum(n) - n)[first], n[first]
+        at = np.repeat(begin, self.count) + np.arange(self.count.sum()) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        self.grams = np.concatenate(grams)[at]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(document, word numbers) of all windows; -1 pads those of short texts."""
         n = np.bincount(self.docs, minlength=self.n_docs)
         begin = np.cumsum(n) - n
-        per = np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(int))
+        per = _windows(n)
         doc = np.repeat(np.arange(self.n_docs), per)
         k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
         start = begin[doc] + np.minimum(k * STRIDE, np.maximum(n[doc] - WINDOW, 0))
@@ -194,17 +212,17 @@ class Network:
         return out
 
 
-def fit(texts: list[str], labels: list[int], share: float, least_steps: int = 500, batch: int = 128, rate: float = 0.1, seed: int = SEED) -> Network:
-    """A trained network; share: of toxic rows among those that training may see."""
+def fit(texts: list[str], labels: list[int], share: float, least_steps: int = 500, batch: int = 128, rate: float = 0.1, seed: int = SEED, owners: list[int] | None = None) -> Network:
+    """A trained network; share: of toxic rows among those that training may see; owners: whose piece each text is."""
     net, rng = Network(seed), np.random.default_rng(seed)
     net.share = share
     if not texts or len(set(labels)) < 2:
         net.scale, net.shift = 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
         return net
-    (s,) = slices(pa.array(texts, pa.large_string()), 1 << 40)
-    words = Words(s)
+    words = Words(*slices(pa.array(texts, pa.large_string())))
     doc, ids = words.windows()
     target = np.array(labels, np.float32)
+    owner = doc if owners is None else np.array(owners)[doc]
     toxic, clean = np.flatnonzero(target[doc] == 1), np.flatnonzero(target[doc] == 0)
     few = min(len(clean), len(toxic))
     warm = max(2, -(-least_steps * batch // (few + len(toxic))))  # passes: few texts need more of them
@@ -212,14 +230,14 @@ def fit(texts: list[str], labels: list[int], share: float, least_steps: int = 50
         if epoch < warm:
             use = np.concatenate([toxic, rng.choice(clean, few, replace=False)])
         else:  # the most toxic window of each text, and other windows of clean texts
-            best = _best(net, words, doc, ids)
+            best = _best(net, words, owner, ids)
             use = np.concatenate([best, rng.choice(clean, min(len(clean), len(best) // 2), replace=False)])
         use = rng.permutation(use)
         for a in range(0, len(use), batch):
             own = use[a : a + batch]
             net.train(words, ids[own], target[doc[own]], rate if epoch < warm else rate / 2)
     # Calibration: a logistic curve on each text's most toxic window, both labels weighing what they do in all rows.
-    best = _best(net, words, doc, ids)
+    best = _best(net, words, owner, ids)
     x = net.forward(net.inputs(words), ids[best]).astype(np.float64)
     y = target[doc[best]].astype(np.float64)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
@@ -241,23 +259,69 @@ def _best(net: Network, words: Words, doc: np.ndarray, ids: np.ndarray) -> np.nd
     return order[np.append(doc[order][1:] != doc[order][:-1], True)]
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in slices(batch.column(0)):
+            n = np.bincount(s.words(PUNCTUATION)[2], minlength=s.n_docs)
+            yield pa.RecordBatch.from_arrays([pa.array(_windows(n).astype(np.int64))], ["windows"])
+
+
+def _most_each(windows: np.ndarray, most: int) -> int:
+    """The greatest number of windows that each text may give, so that all give at most ``most`` (1 at least)."""
+    n = np.sort(windows)
+    given = np.concatenate([[0], np.cumsum(n)[:-1]]) + n * (len(n) - np.arange(len(n)))  # were each text's number the limit
+    k = int(np.searchsorted(given, most, "right"))
+    return int(n[-1]) if k == len(n) else max(1, (most - int(n[:k].sum())) // (len(n) - k))
+
+
+def _drawn(most: int):
+    """doc_id and pieces of every text: the whole one, or ``most`` windows, one from each of as many equal parts of it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[str]] = []
+            for s in slices(batch.column(1)):
+                starts, ends, docs = s.words(PUNCTUATION)
+                n = np.bincount(docs, minlength=s.n_docs)
+                begin = np.cumsum(n) - n
+                for d, per in enumerate(_windows(n)):
+                    if per <= most:
+                        out.append([s.data[s.offsets[d] : s.offsets[d + 1]].tobytes().decode()])
+                        continue
+                    draw = np.random.default_rng([SEED, int(batch.column(0)[s.first + d].as_py()) & (1 << 64) - 1]).random(most)
+                    first = begin[d] + np.minimum(((np.arange(most) + draw) * per / most).astype(np.int64) * STRIDE, n[d] - WINDOW)
+                    out.append([s.data[starts[w] : ends[w + WINDOW - 1]].tobytes().decode() for w in first])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["doc_id", "pieces"])
+
+    return each
+
+
 def train_on(docs: DataFrame, labels: DataFrame, most_clean: tuple[int, int] = MOST_CLEAN, most_toxic: tuple[int, int] = MOST_TOXIC) -> Network:
     """From documents and labels (doc_id, toxic): a bounded sample to the driver, and the network trained on it.
 
-    The sample is drawn among ids and text lengths; only its own texts, looked up by a broadcast of at most
-    as many ids as the bounds allow, are moved.
+    The sample is drawn among ids; only its own texts, looked up by a broadcast of at most as many ids as the bounds
+    allow, are moved, and the driver gets their pieces.
     """
     spark = docs.sparkSession
     share = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     narrow = docs.select("doc_id", F.octet_length("text").alias("_bytes")).join(labels, "doc_id")
-    rows: list = []
-    for label, (most, most_bytes) in enumerate((most_clean, most_toxic)):
-        fits = narrow.where((F.col("toxic") == label) & F.col("_bytes").between(1, most_bytes)).select("doc_id")
+    texts: list[str] = []
+    of: list[int] = []
+    owners: list[int] = []
+    for label, (most, most_windows) in enumerate((most_clean, most_toxic)):
+        fits = narrow.where((F.col("toxic") == label) & (F.col("_bytes") >= 1)).select("doc_id")
         ids = fits.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        if not ids:
+            continue
         wanted = F.broadcast(spark.createDataFrame(ids, "doc_id bigint"))
-        found = docs.where(F.octet_length("text").between(1, most_bytes)).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text")).orderBy("doc_id")
-        rows += [(r[1], label) for r in found.collect()]
-    return fit([r[0] for r in rows], [r[1] for r in rows], share)
+        found = cut(docs.where(F.octet_length("text") >= 1).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+        windows = np.array([r[0] for r in found.select("text").mapInArrow(_counts, "windows bigint").collect()], np.int64)
+        pieces = found.mapInArrow(_drawn(_most_each(windows, most_windows)), "doc_id bigint, pieces array<string>")
+        for row in sorted(pieces.collect(), key=lambda r: r[0]):
+            texts += row[1]
+            of += [label] * len(row[1])
+            owners += [row[0]] * len(row[1])
+    return fit(texts, of, share, owners=owners)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

@@ -208,6 +208,25 @@ def test_toxicity_learns_words_and_defines_empty_texts():
     assert toxicity.fit([], [], 0.1).scores(s)[-1] == 0.1
 
 
+def test_toxicity_trains_on_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, share, **more: sorted(zip(texts, labels, strict=True)))
+    rows = [(1, "a vile " * 900), (2, "b fine " * 2700), (3, "c vile"), (4, "d fine")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.train_on(spark.createDataFrame(rows, "doc_id long, text string"), labels) == [(t, k % 2) for k, t in rows]
+
+
+def test_toxicity_draws_windows_over_the_whole_text():
+    assert toxicity._most_each(np.array([3, 10, 50]), 100) == 50
+    assert toxicity._most_each(np.array([3, 10, 50]), 33) == 20
+    text = " ".join(str(k) for k in range(3200))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "a b"])], ["doc_id", "text"])
+    (out,) = toxicity._drawn(10)([batch])
+    long, short = out.column(1).to_pylist()
+    assert short == ["a b"] and len(long) == 10
+    first = [int(x.split(" ")[0]) for x in long]
+    assert all(len(x.split(" ")) == toxicity.WINDOW for x in long) and [x * 10 // 3200 for x in first] == list(range(10))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
