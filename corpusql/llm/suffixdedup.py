@@ -13,6 +13,10 @@
 
 Texts are keyed by two 64-bit hashes, and equal texts are handled once: of two or more, every byte is covered.
 
+Passages of PASSAGE words go through the same four steps at once, a text being the sequence of its words' 64-bit hashes:
+a string of PASSAGE words counts if another document has it. They cost no byte; n_passage_words reports the words that
+they cover, for passages of many short words that have fewer than 400 bytes.
+
 Null and empty texts: no bytes, nothing removed. Repeated rows are copies of each other. Extra columns are ignored; a
 null doc_id is carried along.
 """
@@ -30,9 +34,15 @@ from pyspark.sql import functions as F
 
 from corpusql.llm.common import shared_path, shuffle_partitions, table
 from corpusql.llm.suffixes import repeated
-from corpusql.llm.textops import Slice, mix, slices, spans_union
+from corpusql.llm.textops import Slice, WordSlice, mix, slices, spans_union
 
 DEPTH, GRAM = 400, 128
+#: Words of a passage that repeats across documents, and of its anchor; no word has less than a byte and a blank.
+PASSAGE, PASSAGE_GRAM = 51, 16
+#: Bytes of one position, by kind: bytes of a text (0), words' hashes (1).
+UNIT = (1, 8)
+#: Tasks over which the contexts of one anchor are dealt while they are counted.
+SALTS = 8
 #: Different contexts of one anchor that a bucket takes; bytes of contexts in a bucket.
 HOT, BUCKET_BYTES = 4096, 2 << 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -75,8 +85,20 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
 
 
+def _both(s: Slice, depth: int, gram: int) -> Iterator[tuple[int, int, Slice, tuple]]:
+    """(kind, string length, slice, anchors) of the bytes of a slice and of its words; hashes of the kinds differ."""
+    yield 0, depth, s, anchors(s, depth, gram)
+    words = WordSlice(s)
+    doc, h, low, high = anchors(words, PASSAGE, PASSAGE_GRAM)
+    yield 1, PASSAGE, words, (doc, h ^ np.uint64(0x5851F42D4C957F2D), low, high)
+
+
+def _long_enough(texts: DataFrame, depth: int) -> DataFrame:
+    return texts.where(F.octet_length("text") >= min(depth, 2 * PASSAGE - 1))
+
+
 def _anchor_rows(texts: DataFrame, depth: int, gram: int) -> DataFrame:
-    """(h, k1, k2, twice): the anchors of every text, each once, twice where the text has it again."""
+    """(h, k1, k2, twice): the anchors of every text, each once, twice where its bytes have it again."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -88,19 +110,19 @@ def _anchor_rows(texts: DataFrame, depth: int, gram: int) -> DataFrame:
                     seen.add(key)
                     fresh[i] = True
             for s in slices(batch.column(2)):
-                doc, h, _, _ = anchors(s, depth, gram)
-                own = fresh[s.first + doc]
-                doc, h = doc[own], h[own]
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                if not len(h):
-                    continue
-                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
-                twice = np.diff(np.append(new, len(h))) > 1
-                d = s.first + doc[new]
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(k1[d]), pa.array(k2[d]), pa.array(twice)], ["h", "k1", "k2", "twice"])
+                for kind, _, _, (doc, h, _, _) in _both(s, depth, gram):
+                    own = fresh[s.first + doc]
+                    doc, h = doc[own], h[own]
+                    order = np.lexsort((h, doc))
+                    doc, h = doc[order], h[order]
+                    if not len(h):
+                        continue
+                    new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
+                    twice = (np.diff(np.append(new, len(h))) > 1) & (kind == 0)
+                    d = s.first + doc[new]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(k1[d]), pa.array(k2[d]), pa.array(twice)], ["h", "k1", "k2", "twice"])
 
-    return texts.where(F.octet_length("text") >= depth).select("k1", "k2", "text").mapInArrow(each, "h bigint, k1 bigint, k2 bigint, twice boolean")
+    return _long_enough(texts, depth).select("k1", "k2", "text").mapInArrow(each, "h bigint, k1 bigint, k2 bigint, twice boolean")
 
 
 def _once(texts: DataFrame, depth: int) -> DataFrame:
@@ -115,12 +137,12 @@ def _once(texts: DataFrame, depth: int) -> DataFrame:
                 seen.add(key)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return texts.where(F.octet_length("text") >= depth).select("k1", "k2", "text").mapInArrow(each, "k1 bigint, k2 bigint, text string")
+    return _long_enough(texts, depth).select("k1", "k2", "text").mapInArrow(each, "k1 bigint, k2 bigint, text string")
 
 
 def _contexts(held: DataFrame, depth: int, gram: int) -> DataFrame:
     """A row for each context of each text; the bytes only once for equal contexts of a task. lead: starts before 0."""
-    schema = "k1 bigint, k2 bigint, h bigint, c1 bigint, c2 bigint, start bigint, starts int, bytes binary"
+    schema = "kind int, k1 bigint, k2 bigint, h bigint, c1 bigint, c2 bigint, start bigint, starts int, bytes binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -128,28 +150,28 @@ def _contexts(held: DataFrame, depth: int, gram: int) -> DataFrame:
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             wanted = batch.column(3)
             for s in slices(batch.column(2)):
-                doc, h, low, high = anchors(s, depth, gram)
                 rows = []
-                for d in range(s.n_docs):
-                    a, b = np.searchsorted(doc, [d, d + 1])
-                    want = wanted[s.first + d].values.to_numpy().view(np.uint64)
-                    for i in a + np.flatnonzero(np.isin(h[a:b], want)):
-                        data = s.data[low[i] : high[i] + depth].tobytes()
-                        name = hashlib.blake2b(data, digest_size=16).digest()
-                        fresh = name not in seen
-                        seen.add(name)
-                        c1, c2 = int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
-                        rows.append((k1[s.first + d], k2[s.first + d], int(h[i].view(np.int64)), c1, c2, int(low[i] - s.offsets[d]), int(high[i] - low[i]) + 1, data if fresh else None))
+                for kind, length, own, (doc, h, low, high) in _both(s, depth, gram):
+                    for d in range(s.n_docs):
+                        a, b = np.searchsorted(doc, [d, d + 1])
+                        want = wanted[s.first + d].values.to_numpy().view(np.uint64)
+                        for i in a + np.flatnonzero(np.isin(h[a:b], want)):
+                            data = own.data[low[i] : high[i] + length].tobytes()
+                            name = hashlib.blake2b(data, digest_size=16, person=bytes([kind])).digest()
+                            fresh = name not in seen
+                            seen.add(name)
+                            c1, c2 = int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
+                            rows.append((kind, k1[s.first + d], k2[s.first + d], int(h[i].view(np.int64)), c1, c2, int(low[i] - own.offsets[d]), int(high[i] - low[i]) + 1, data if fresh else None))
                 if rows:
                     columns = list(zip(*rows, strict=True))
-                    kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k1", "k2", "h", "c1", "c2", "start", "starts", "bytes"])
+                    kinds = [pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "k1", "k2", "h", "c1", "c2", "start", "starts", "bytes"])
 
     return held.mapInArrow(each, schema)
 
 
 def _sorted_bucket(depth: int):
-    """Of one bucket's different contexts, the runs of starts that are repeated: (c1, c2, runs of first and last)."""
+    """Of one bucket's different contexts of one kind, the runs of starts that are repeated: (c1, c2, runs of first and last)."""
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["c1", "c2"])
@@ -158,7 +180,10 @@ def _sorted_bucket(depth: int):
         begin = np.concatenate([[0], np.cumsum([len(x) for x in frame["bytes"]])])[:-1]
         owner = np.repeat(np.arange(len(frame)), lengths)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        hit = repeated(data, begin[owner] + within, depth)
+        if frame["kind"].iloc[0]:
+            hit = repeated(data, begin[owner] + within * UNIT[1], PASSAGE * UNIT[1], frame["low"].to_numpy()[owner], frame["high"].to_numpy()[owner])
+        else:
+            hit = repeated(data, begin[owner] + within, depth)
         owner, within = owner[hit], within[hit]
         if not len(owner):
             return pd.DataFrame({"c1": [], "c2": [], "runs": []})
@@ -176,15 +201,22 @@ def _strings(hot: DataFrame, depth: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c1, c2, starts, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for kind, c1, c2, starts, low, high, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = Slice(0, np.frombuffer(data, np.uint8), np.array([0, len(data)]))
                 s.sums(fold=False)
-                at = np.arange(starts)
-                one = s.hashes(at, at + depth)
-                two = s.hashes(at, at + depth // 2) ^ (mix(s.hashes(at + depth // 2, at + depth)) << np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(starts, c1)), pa.array(np.full(starts, c2)), pa.array(at)], ["s1", "s2", "c1", "c2", "at"])
+                at, length = np.arange(starts) * UNIT[kind], PASSAGE * UNIT[1] if kind else depth
+                one = s.hashes(at, at + length) ^ np.uint64(kind)
+                two = s.hashes(at, at + length // 2) ^ (mix(s.hashes(at + length // 2, at + length)) << np.uint64(1))
+                same = [pa.array(np.full(starts, x)) for x in (c1, c2, low, high)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(starts, kind, np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *same, pa.array(np.arange(starts))], ["kind", "s1", "s2", "c1", "c2", "low", "high", "at"])
+
+    return hot.select("kind", "c1", "c2", "starts", "low", "high", "bytes").mapInArrow(each, "kind int, s1 bigint, s2 bigint, c1 bigint, c2 bigint, low bigint, high bigint, at bigint")
+
 
-    return hot.select("c1", "c2", "starts", "bytes").mapInArrow(each, "s1 bigint, s2 bigint, c1 bigint, c2 bigint, at bigint")
+def _united(found: list[dict], kind: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The union of the repeated strings of one kind in one text."""
+    flat = [(x["start"] + a, x["start"] + b + length) for x in found if x["kind"] == kind for a, b in zip(x["runs"][::2], x["runs"][1::2], strict=True)]
+    return spans_union(np.array([x[0] for x in flat], np.int64), np.array([x[1] for x in flat], np.int64))
 
 
 def _removed(depth: int):
@@ -195,23 +227,22 @@ def _removed(depth: int):
             rows = []
             for k1, k2, text, found in (tuple(batch.column(k)[i].as_py() for k in range(4)) for i in range(batch.num_rows)):
                 data = text.encode()
-                flat = [(x["start"] + a, x["start"] + b + depth) for x in found for a, b in zip(x["runs"][::2], x["runs"][1::2], strict=True)]
-                a, b = spans_union(np.array([x[0] for x in flat], np.int64), np.array([x[1] for x in flat], np.int64))
+                (a, b), (c, d) = _united(found, 0, depth), _united(found, 1, PASSAGE)
                 digest, at = hashlib.sha256(), 0
                 for i, j in zip(a.tolist(), b.tolist(), strict=True):
                     digest.update(data[at:i])
                     at = j
                 digest.update(data[at:])
-                rows.append((k1, k2, int((b - a).sum()), len(a), digest.hexdigest()))
+                rows.append((k1, k2, int((b - a).sum()), len(a), digest.hexdigest(), int((d - c).sum())))
             if rows:
-                kinds = [pa.int64()] * 4 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["k1", "k2", "n_removed", "n_spans", "kept_sha256"])
+                kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
     return each
 
 
 def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of ``docs``. depth: a multiple of eight."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passage_words for each row of ``docs``. depth: a multiple of eight."""
     if depth % 8 or not 0 < gram <= depth:
         raise ValueError("depth must be a multiple of eight, and gram at most depth")
     spark = docs.sparkSession
@@ -226,32 +257,37 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT,
     _contexts(held.select("k1", "k2", "text", "hs"), depth, gram).write.parquet(path)
     contexts = spark.read.parquet(path)
 
-    # Different contexts, how often each was met, and how many its anchor has.
-    names = contexts.groupBy("h", "c1", "c2").agg(F.count("*").alias("met"), F.max("starts").alias("starts"))
+    # Different contexts, how often each was met and by which texts, and how many its anchor has.
+    names = contexts.groupBy("kind", "h", "c1", "c2").agg(F.count("*").alias("met"), F.max("starts").alias("starts"), F.min("k1").alias("low"), F.max("k1").alias("high"))
     many = names.groupBy("h").agg(F.count("*").alias("different")).where("different > 1")
-    whole = names.where("met > 1").select("c1", "c2", F.array(F.lit(0).cast("long"), (F.col("starts") - 1).cast("long")).alias("runs"))
-    open_ = contexts.where("bytes is not null").select("h", "c1", "c2", "starts", "bytes").join(many, "h")
+    many = many.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    salted = names.withColumn("salt", F.pmod("c1", F.lit(SALTS)).cast("int")).join(many, ["h", "salt"]).select("h", "c1", "c2", "low", "high", "different")
+    met = F.when(F.col("kind") == 0, F.col("met") > 1).otherwise(F.col("low") < F.col("high"))
+    whole = names.where(met).select("c1", "c2", F.array(F.lit(0).cast("long"), (F.col("starts") - 1).cast("long")).alias("runs"))
+    open_ = contexts.where("bytes is not null").select("kind", "h", "c1", "c2", "starts", "bytes").join(salted, ["h", "c1", "c2"])
     size = contexts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-size // bucket_bytes))
     cold = open_.where(F.col("different") <= hot).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    verdicts = cold.groupBy("bucket").applyInPandas(_sorted_bucket(depth), "c1 bigint, c2 bigint, runs array<bigint>")
+    verdicts = cold.groupBy("bucket", "kind").applyInPandas(_sorted_bucket(depth), "c1 bigint, c2 bigint, runs array<bigint>")
     strings = _strings(open_.where(F.col("different") > hot).dropDuplicates(["c1", "c2"]), depth)
-    twice = strings.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2")
+    twice = strings.groupBy("kind", "s1", "s2").agg(F.count("*").alias("met"), F.min("low").alias("low"), F.max("high").alias("high")).where(met).select("s1", "s2")
     of_hot = strings.join(twice, ["s1", "s2"]).groupBy("c1", "c2").agg(F.flatten(F.collect_list(F.array("at", "at"))).alias("runs"))
     verdicts = verdicts.unionByName(of_hot).unionByName(whole)
-    per = contexts.select("k1", "k2", "c1", "c2", "start").join(verdicts, ["c1", "c2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "runs")).alias("found"))
-    results = held.select("k1", "k2", "text").join(per, ["k1", "k2"]).mapInArrow(_removed(depth), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    per = contexts.select("kind", "k1", "k2", "c1", "c2", "start").join(verdicts, ["c1", "c2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "start", "runs")).alias("found"))
+    results = held.select("k1", "k2", "text").join(per, ["k1", "k2"]).mapInArrow(_removed(depth), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint")
 
-    narrow = texts.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    copies = narrow.where(F.col("n_bytes") >= depth).groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
+    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    narrow = texts.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), n_words.alias("n_words"), F.sha2("text", 256).alias("sha"))
+    copies = narrow.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
     out = narrow.join(copies, ["k1", "k2"], "left").join(results, ["k1", "k2"], "left")
-    copied = F.col("copies").isNotNull()
+    copied = F.col("copies").isNotNull() & (F.col("n_bytes") >= depth)
     return out.select(
         "doc_id",
         "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(F.col("copies").isNotNull() & (F.col("n_words") >= PASSAGE), F.col("n_words")).otherwise(F.coalesce("n_passage_words", F.lit(0))).alias("n_passage_words"),
     )
 
 

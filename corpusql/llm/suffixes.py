@@ -118,12 +118,25 @@ class Text:
         return out
 
 
-def repeated(data: np.ndarray, positions: np.ndarray, depth: int) -> np.ndarray:
-    """Which of the positions start a string of ``depth`` bytes that starts at another of them too."""
+def repeated(data: np.ndarray, positions: np.ndarray, depth: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+    """Which of the positions start a string of ``depth`` bytes that starts at another of them too.
+
+    low, high: of each position the least and the greatest owner; then a string counts only if two owners have it.
+    """
     text = Text(data, depth)
     out = np.zeros(len(data), bool)
+    if low is not None:
+        least, most = np.zeros((2, len(data)), np.int64)
+        least[positions], most[positions] = low, high
     for at in text.blocks(positions):
+        if not len(at):
+            continue
         same = text.agree(at[:-1], at[1:])
-        out[at[:-1][same]] = True
-        out[at[1:][same]] = True
+        if low is None:
+            out[at[:-1][same]] = True
+            out[at[1:][same]] = True
+        else:
+            first = np.flatnonzero(np.append(True, ~same))
+            shared = np.minimum.reduceat(least[at], first) < np.maximum.reduceat(most[at], first)
+            out[at[np.repeat(shared, np.diff(np.append(first, len(at))))]] = True
     return out[positions]

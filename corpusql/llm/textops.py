@@ -88,6 +88,21 @@ class Slice:
         return starts, ends, np.searchsorted(self.offsets, starts, "right") - 1
 
 
+class WordSlice(Slice):
+    """The words of a slice in place of its bytes: ``data`` holds a 64-bit hash of each word, positions count words."""
+
+    def __init__(self, s: Slice):
+        starts, ends, docs = s.words()
+        s.sums(fold=False)
+        super().__init__(s.first, s.hashes(starts, ends), np.searchsorted(docs, np.arange(s.n_docs + 1)))
+
+    def sums(self, fold: bool) -> None:
+        n = len(self.data)
+        up, self._down = powers(n + 1)
+        self._run = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.data * up[:n], out=self._run[1:])
+
+
 def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[Slice]:
     """The column (null: empty) in slices of at most ``most_bytes``, or of one longer document."""
     if isinstance(column, pa.ChunkedArray):
