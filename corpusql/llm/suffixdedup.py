@@ -13,7 +13,8 @@
 
 Texts are keyed by two 64-bit hashes, and equal texts are handled once: of two or more, every byte is covered.
 
-Passages of PASSAGE words go through the same four steps at once, a text being the sequence of its words' 64-bit hashes:
+Passages of PASSAGE words go through the same four steps at once, a text being the sequence of its words' hashes (64 bit
+for anchors, 32 bit for each word of a context):
 a string of PASSAGE words counts if another document has it. They cost no byte; n_passage_words reports the words that
 they cover, for passages of many short words that have fewer than 400 bytes.
 
@@ -38,9 +39,9 @@ from corpusql.llm.textops import Slice, WordSlice, mix, slices, spans_union
 
 DEPTH, GRAM = 400, 128
 #: Words of a passage that repeats across documents, and of its anchor; no word has less than a byte and a blank.
-PASSAGE, PASSAGE_GRAM = 51, 16
+PASSAGE, PASSAGE_GRAM = 51, 8
 #: Bytes of one position, by kind: bytes of a text (0), words' hashes (1).
-UNIT = (1, 8)
+UNIT = (1, 4)
 #: Tasks over which the contexts of one anchor are dealt while they are counted.
 SALTS = 8
 #: Different contexts of one anchor that a bucket takes; bytes of contexts in a bucket.
@@ -156,7 +157,7 @@ def _contexts(held: DataFrame, depth: int, gram: int) -> DataFrame:
                         a, b = np.searchsorted(doc, [d, d + 1])
                         want = wanted[s.first + d].values.to_numpy().view(np.uint64)
                         for i in a + np.flatnonzero(np.isin(h[a:b], want)):
-                            data = own.data[low[i] : high[i] + length].tobytes()
+                            data = own.data[low[i] : high[i] + length].astype(np.uint32 if kind else np.uint8).tobytes()
                             name = hashlib.blake2b(data, digest_size=16, person=bytes([kind])).digest()
                             fresh = name not in seen
                             seen.add(name)
@@ -247,7 +248,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT,
         raise ValueError("depth must be a multiple of eight, and gram at most depth")
     spark = docs.sparkSession
     texts = _texts(docs)
-    rows = _anchor_rows(texts, depth, gram)
+    rows = _anchor_rows(texts, depth, gram).repartition(F.col("h"))  # read twice, moved once
     shared = rows.groupBy("h").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.max("twice").alias("twice")).where("low < high or twice").select("h")
     wanted = rows.select("h", "k1", "k2").join(shared, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
     path = shared_path(spark, "suffix-texts")

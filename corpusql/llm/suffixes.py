@@ -109,9 +109,9 @@ class Text:
             yield self._resolve(at, group)
 
     def agree(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether suffixes i and j agree on ``depth`` bytes (a multiple of eight)."""
+        """Whether suffixes i and j agree on ``depth`` bytes (eight at least)."""
         live = np.arange(len(i))
-        for k in range(0, self.depth, 8):
+        for k in (*range(0, self.depth - 7, 8), self.depth - 8):
             live = live[self.words[i[live] + k] == self.words[j[live] + k]]
         out = np.zeros(len(i), bool)
         out[live] = True
