@@ -5,14 +5,12 @@ similarity t or more share at least ceil(t / (1 + t) * (a + b)) elements.
 
 * Light sets (at most ``boundary`` elements): every set lists all its subsets of exactly that many elements, once for
   each size a partner may have; two linked sets list a common subset.
-* Heavy sets: one order of all elements, the rarest first, and a posting list for each of a set's first n - c + 1
-  elements, c being the fewest elements that a set of n shares with any partner: of two linked sets the least common
-  element is among the first of both. An element of one set only needs no list. Elements are dealt by hash into
-  buckets, five bytes each, and counted there (a bucket answers only with elements that occur twice); each set then
-  knows how many of its elements are its own, and most sets have enough of them to have no list at all. Five bytes and
-  the bucket name an element: where two agree, they count as one in every set, which adds candidates and loses none.
-* Hot elements, at least one in 2**18 of all occurrences, are never sent to a bucket: they end the order, and a set
-  lists the few it needs at once. Their number is bounded by 2**18, so their table is broadcast.
+* Heavy sets: the elements are dealt by hash into P groups, and inverted lists are kept of whole groups (their number
+  and everything in them), not of single elements. Two linked sets differ in at most k elements, so in at most k groups;
+  in one order of all groups the least common one is then among the first k + 1 of both, and only those have lists. The
+  order is by the number of elements in a group that are not hot, most first. P comes from a geometric grid over the k
+  that partners of a set may have, so a set has lists for one P or two.
+* Hot elements make at least one in 2**18 of all occurrences. Their number is bounded by 2**18, so they are broadcast.
 * The boundary is where the expected cost of keys is least, from the histogram of set sizes.
 
 Equal sets are one class before anything else. Classes that share a key hang together with the least class of that key
@@ -43,8 +41,14 @@ from corpusql.llm.textops import Slice, mix, slices, windows
 
 #: A cluster over TILE classes or TILE_ELEMENTS elements is verified tile by tile.
 TILE, TILE_ELEMENTS = 2048, 4_000_000
-#: Elements of one bucket and of one batch that is dealt; a batch's counts from LOCAL_HOT on add up to those of hot elements.
-BUCKET, BATCH, LOCAL_HOT = 1_000_000, 2_000_000, 8
+#: Elements of one batch; a batch's counts from LOCAL_HOT on add up to those of hot elements.
+BATCH, LOCAL_HOT = 2_000_000, 8
+#: The numbers of groups are FIRST_GROUPS * GRID ** i; a set has at least SPREAD as many groups as it lists.
+GRID, SPREAD = 1.5, 1.1
+#: Elements of the texts that one task verifies.
+VERIFIED = 4_000_000
+#: Tasks over which the rows of one class are dealt.
+SALTS = 8
 #: The most hot elements; at one in so many of all occurrences an element is hot.
 HOT = 1 << 18
 #: Rows (28 bytes each) up to which the members of clusters are broadcast; beyond it the texts are shuffled to them.
@@ -60,6 +64,10 @@ def _ratio(percent: int, a: int, b: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _on_grid(least: float) -> int:
+    return math.ceil(GRID ** math.ceil(math.log(least, GRID) - 1e-9))
+
+
 def linked(percent: int, a, b, common):
     return 100 * common >= percent * (a + b - common)
 
@@ -70,6 +78,7 @@ class Keys:
     def __init__(self, percent: int, boundary: int):
         self.percent, self.boundary = percent, boundary
         self._plans: dict[int, list] = {}
+        self._groups: dict[int, list] = {}
 
     def partners(self, n: int) -> range:
         return range(-(-self.percent * n // 100), 100 * n // self.percent + 1)
@@ -85,9 +94,17 @@ class Keys:
             self._plans[n] = plan
         return self._plans[n]
 
-    def prefix(self, n):
-        """How many of the first elements of a set of n are listed: n (an array or a number) less the fewest that partners share, and one."""
-        return n - _ratio(self.percent, n, -(-self.percent * n // 100)) + 1
+    def groups(self, n: int) -> list[tuple[int, int]]:
+        """(P, how many groups a set of n elements lists) for each number of groups P that a partner's size asks for."""
+        if n not in self._groups:
+            plan: dict[int, int] = {}
+            for m in self.partners(n):
+                listed = n + m - 2 * _ratio(self.percent, n, m) + 1
+                if listed > 0:
+                    of = _on_grid(SPREAD * listed)
+                    plan[of] = max(plan.get(of, 0), listed)
+            self._groups[n] = sorted(plan.items())
+        return self._groups[n]
 
     def is_heavy(self, n):
         """Whether a set of n elements may have a partner over the boundary, or is one itself."""
@@ -97,7 +114,7 @@ class Keys:
         return sum(math.comb(n, left) for _, left in self.subsets(n))
 
     def heavy_cost(self, n: int) -> int:
-        return self.prefix(n) + n // 4  # a dealt element takes a quarter of a key's bytes
+        return sum(listed for _, listed in self.groups(n))
 
     def light(self, elements: np.ndarray) -> np.ndarray:
         """The keys of all listed subsets of one light set (distinct uint64)."""
@@ -217,123 +234,58 @@ def _own_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[
         yield ids, sets
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers as compressed bytes, all low bytes first: planes of zeros cost nothing."""
-    x = np.diff(x, prepend=x.dtype.type(0))
-    return pa.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def _numbers(data: bytes, n: int, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    raw = pa.decompress(data, n * width, codec="zstd", asbytes=True)
-    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(width, n).T.copy().view(kind).ravel(), dtype=kind)
-
-
-def _direct_keys(docs: DataFrame, k: int, keys: Keys, hot) -> DataFrame:
-    """(key, doc_id) of light sets' subsets, and of the hot elements among the first of a heavy set."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: HotElements = hot.value
-        for ids, sets in _own_sets(batches, k):
-            found, owner = [], []
-            for doc, own in zip(ids, sets, strict=True):
-                n, mine = len(own), []
-                if n <= keys.boundary:
-                    mine.append(keys.light(own))
-                if keys.is_heavy(n):
-                    count = table.count(own)
-                    some = np.flatnonzero(count)
-                    need = keys.prefix(n) - (n - len(some))
-                    if need > 0:
-                        first = some[np.lexsort((own[some], count[some]))[:need]]
-                        mine.append(mix(own[first] ^ np.uint64(0x4F1BBCDCBFA53E0A)))
-                for x in mine:
-                    found.append(x)
-                    owner.append(np.full(len(x), doc))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "doc_id"])
-
-    return docs.select("doc_id", "text").mapInArrow(each, "key bigint, doc_id bigint")
-
-
-def _dealt(docs: DataFrame, k: int, keys: Keys, hot, buckets: int) -> DataFrame:
-    """Elements of heavy sets that are not hot, by bucket: (bucket, n docs, their ids, spared and counts, and five bytes an element).
-
-    spared: how many of the set's elements beyond its own ones need no list, the last in the order.
-    """
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for each range, one after another."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
+def group_keys(sets: list[np.ndarray], keys: Keys, hot: HotElements) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the groups that heavy sets (sorted, distinct) list, and which set each is of."""
+    rows = [(i, of, listed) for i, x in enumerate(sets) for of, listed in keys.groups(len(x))]
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    which, of, listed = np.array(rows, np.int64).T
+    length = np.array([len(x) for x in sets])
+    every, first = np.concatenate(sets), np.cumsum(length) - length
+    plain = hot.count(every) == 0
+    size = length[which]
+    take, row = _ranges(first[which], size), np.repeat(np.arange(len(which)), size)
+    element = every[take]
+    base = np.cumsum(of) - of
+    # A group is a range of hashes, so sorted elements come group by group.
+    place = base[row] + (((element >> np.uint64(32)) * of[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+    total = int(of.sum())
+    new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    held = np.zeros(total, np.uint64)
+    held[place[new]] = np.add.reduceat(mix(element ^ np.uint64(0x4F1BBCDCBFA53E0A)), new)
+    unusual = np.bincount(place[plain[take]], minlength=total)
+    owner = np.repeat(np.arange(len(which)), of)
+    number = (np.arange(total) - base[owner]).astype(np.uint64) | (of[owner].astype(np.uint64) << np.uint64(32))
+    name = mix(held ^ mix(number))
+    order = np.lexsort((name, -unusual, owner))
+    kept = order[np.arange(total) - base[owner] < listed[owner]]
+    return name[kept], which[owner[kept]]
+
+
+def _all_keys(docs: DataFrame, k: int, keys: Keys, hot) -> DataFrame:
+    """(key, doc_id): of light sets the subsets, of heavy ones the groups."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: HotElements = hot.value
         for ids, sets in _own_sets(batches, k):
+            names = np.array(ids, np.int64)
             size = np.array([len(x) for x in sets])
             chosen = np.flatnonzero(keys.is_heavy(size))
-            if not len(chosen):
-                continue
-            chosen = chosen[np.argsort(np.array(ids)[chosen], kind="stable")]
-            names, size = np.array(ids)[chosen], size[chosen]
-            elements, owner = np.concatenate([sets[i] for i in chosen]), np.repeat(np.arange(len(chosen)), size)
-            rare = table.count(elements) == 0
-            elements, owner = elements[rare], owner[rare]
-            spared = np.bincount(owner, minlength=len(chosen)) - keys.prefix(size)
-            bucket = ((elements >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            elements, owner, bucket = elements[order], owner[order], bucket[order]
-            five = elements.view(np.uint8).reshape(-1, 8)[:, :5]
-            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-            rows = []
-            for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-                own, count = np.unique(owner[a:b], return_counts=True)
-                rows.append((int(bucket[a]), len(own), _planes(names[own].astype(np.int64)), _planes(spared[own].astype(np.int32)), _planes(count.astype(np.int32)), five[a:b].tobytes()))
-            if rows:
-                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "n", "ids", "spared", "counts", "elements"])
-
-    return docs.select("doc_id", "text").mapInArrow(each, "bucket int, n int, ids binary, spared binary, counts binary, elements binary")
-
-
-_PACKED = np.dtype([("low", np.uint8, 5), ("often", np.uint16)])
-
-
-def _shared_elements(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket's elements those that occur twice, packed by document with their counts."""
-    ids, spared, counts, values = [], [], [], []
-    for row in frame.itertuples():
-        ids.append(_numbers(row.ids, row.n, np.int64))
-        spared.append(_numbers(row.spared, row.n, np.int32))
-        counts.append(_numbers(row.counts, row.n, np.int32))
-        wide = np.zeros((len(row.elements) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(row.elements, np.uint8).reshape(-1, 5)
-        values.append(wide.view(np.uint64).ravel())
-    ids, spared, counts, values = map(np.concatenate, (ids, spared, counts, values))
-    doc = np.repeat(np.arange(len(ids)), counts)
-    _, place, often = np.unique(values, return_inverse=True, return_counts=True)
-    often = often[place]
-    twice = np.flatnonzero(often > 1)
-    doc, often = doc[twice], often[twice]
-    packed = np.zeros(len(twice), _PACKED)
-    packed["low"] = values[twice].view(np.uint8).reshape(-1, 8)[:, :5]
-    packed["often"] = np.minimum(often, 0xFFFF)  # beyond it the order is by key alone
-    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(doc))
-    return pd.DataFrame({"doc_id": ids[doc[at]], "spared": spared[doc[at]], "bucket": int(frame["bucket"].iloc[0]), "packed": [packed[a:b].tobytes() for a, b in zip(at, ends, strict=True)]})
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id): of each set its shared elements but for the ``spared`` most frequent ones."""
-    for batch in batches:
-        found, owner = [], []
-        for doc, spared, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = np.frombuffer(b"".join(x["packed"] for x in packed), _PACKED)
-            if len(own) > spared:
-                bucket = np.repeat(np.array([x["bucket"] for x in packed], np.uint64), [len(x["packed"]) // _PACKED.itemsize for x in packed])
-                low = np.zeros((len(own), 8), np.uint8)
-                low[:, :5] = own["low"]
-                names = mix(low.view(np.uint64).ravel() ^ (bucket << np.uint64(40)))
-                order = np.lexsort((names, own["often"]))[: len(own) - max(0, spared)]
-                found.append(np.unique(names[order]))
-                owner.append(np.full(len(found[-1]), doc))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "doc_id"])
+            found, owner = group_keys([sets[i] for i in chosen], keys, table)
+            out = [(found, names[chosen][owner])]
+            for i in np.flatnonzero(size <= keys.boundary):
+                own = keys.light(sets[i])
+                out.append((own, np.full(len(own), names[i])))
+            found, owner = (np.concatenate(x) for x in zip(*out, strict=True))
+            for a in range(0, len(found), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(found[a : a + (1 << 18)].view(np.int64)), pa.array(owner[a : a + (1 << 18)])], ["key", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(each, "key bigint, doc_id bigint")
 
 
 def _products(sets: list[np.ndarray], rows: int, most: int = 8_000_000) -> Iterator[np.ndarray]:
@@ -368,23 +320,16 @@ def links_within(sets: list[np.ndarray], percent: int, split: int | None = None)
     return linked(percent, size[left][:, None], size[right][None, :], common.astype(np.float64))
 
 
-def _forest(adjacent: np.ndarray, names_a: np.ndarray, names_b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between two lists of classes."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    edges = []
-    for i, j in zip(*np.nonzero(adjacent), strict=True):
-        a, b = root(int(names_a[i])), root(int(names_b[j]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            edges.append((int(names_a[i]), int(names_b[j])))
-    return edges
+def _labels(near: np.ndarray) -> np.ndarray:
+    """Of each row of a symmetric matrix of links the least row that it hangs together with."""
+    label = np.arange(len(near))
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1, initial=len(near)))
+        np.minimum.at(least, label, least)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
 
 
 def _fewer_edges(edges: DataFrame) -> DataFrame:
@@ -420,18 +365,18 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = 3, tile: int = TIL
     total = digests.agg(F.sum("n_shingles")).first()[0] or 0
     hot_rows = found.where("n_shingles is null").groupBy("d1").agg(F.sum("d2").alias("n")).where(F.col("n") * HOT >= total).collect()  # at most HOT
     hot = spark.sparkContext.broadcast(HotElements(np.array([r[0] for r in hot_rows], np.int64).view(np.uint64), np.array([r[1] for r in hot_rows], np.int64)))
-    classes = digests.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    named = digests.where("n_shingles > 0 and doc_id is not null")
+    classes = named.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     small = classes.where(F.col("n_shingles") <= MOST_LIGHT).groupBy("n_shingles").count().collect()
     keys = Keys(percent, boundary_by_cost(percent, {r[0]: r[1] for r in small}))
-    of_doc = digests.join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "class_id", "copies", "n_shingles")
+    met = classes.where("copies > 1").withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    of_doc = salted.join(met, ["n_shingles", "d1", "d2", "salt"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "n_shingles")
     of_doc = cut(of_doc)
     parts = max(shuffle_partitions(spark), 16)
-    buckets = max(4 * parts, -(-total // BUCKET))
-    shared = _dealt(docs, k, keys, hot, buckets).groupBy("bucket").applyInPandas(_shared_elements, "doc_id bigint, spared int, bucket int, packed binary")
-    by_doc = shared.groupBy("doc_id").agg(F.max("spared").alias("spared"), F.collect_list(F.struct("bucket", "packed")).alias("packed"))
-    listed = cut(by_doc.mapInArrow(_lists, "key bigint, doc_id bigint").unionByName(_direct_keys(docs, k, keys, hot)))
+    listed = _all_keys(docs, k, keys, hot).repartition(F.col("key"))  # read twice, moved once
     stars = listed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
-    edges = listed.join(stars, "key").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    edges = listed.join(stars, "key").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
     edges = _fewer_edges(edges)
     to_class = of_doc.select("doc_id", "class_id").where("doc_id <> class_id").distinct()
     for side in ("a", "b"):
@@ -442,12 +387,13 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = 3, tile: int = TIL
     sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("elements"))
     sizes = sizes.withColumn("tiles", F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("elements") / tile_elements)).cast("int"))
     members = cut(members.join(sizes.select("cluster", "tiles"), "cluster"))
-    wanted = members.withColumnRenamed("class_id", "doc_id")
-    if wanted.count() <= MOST_BROADCAST:  # then only the members' texts move
+    wanted = members.withColumnRenamed("class_id", "doc_id").drop("n_shingles")
+    count, elements = members.agg(F.count("*"), F.sum("n_shingles")).first()
+    if count <= MOST_BROADCAST:  # then only the members' texts move
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "doc_id").dropDuplicates(["doc_id"])
     texts = texts.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    lone = texts.where("tiles = 1").withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(parts * 4)))
+    lone = texts.where("tiles = 1").withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(max(parts, 4 * -(-(elements or 0) // VERIFIED)))))
     exact = lone.groupBy("task").applyInPandas(_verify(percent, k), "class_id bigint, component bigint, links bigint")
     pairs = F.explode(F.expr("transform(sequence(0, tiles - 1), x -> struct(least(x, tile) as i, greatest(x, tile) as j))"))
     tiled = texts.where("tiles > 1").withColumn("p", pairs).select("*", "p.i", "p.j").drop("p")
@@ -479,29 +425,14 @@ def _verify(percent: int, k: int):
             ids, copies = g["doc_id"].to_numpy(), g["copies"].to_numpy()
             near = links_within(_sets(g, k), percent)
             np.fill_diagonal(near, False)
-            label = {int(x): int(x) for x in ids}
-            root = _roots(_forest(np.triu(near), ids, ids), label)
-            rows.append(pd.DataFrame({"class_id": ids, "component": [root(int(x)) for x in ids], "links": near @ copies}))
+            rows.append(pd.DataFrame({"class_id": ids, "component": ids[_labels(near)], "links": near @ copies}))
         return pd.concat(rows) if rows else pd.DataFrame({"class_id": [], "component": [], "links": []})
 
     return verify
 
 
-def _roots(edges: list[tuple[int, int]], parent: dict[int, int]):
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    return root
-
-
 def _verify_tiles(percent: int, k: int):
-    """Links between tile i and tile j of a cluster: a spanning forest, and each class's number of linked documents."""
+    """Links between tile i and tile j of a cluster: edges that span their components, and each class's number of linked documents."""
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
@@ -511,16 +442,19 @@ def _verify_tiles(percent: int, k: int):
         if i == j:
             near = links_within(sets, percent)
             np.fill_diagonal(near, False)
-            edges, links = _forest(np.triu(near), ids, ids), near @ copies
+            label, links = _labels(near), near @ copies
         else:
             split = int((frame["tile"] == i).sum())
             if not 0 < split < len(ids):
                 return pd.DataFrame({"class_id": [], "other": [], "links": []})
             near = links_within(sets, percent, split)
-            edges = _forest(near, ids[:split], ids[split:])
+            both = np.zeros((len(ids), len(ids)), bool)
+            both[:split, split:], both[split:, :split] = near, near.T
+            label = _labels(both)
             links = np.concatenate([near @ copies[split:], copies[:split] @ near])
+        hung = np.flatnonzero(label != np.arange(len(ids)))
         counts = pd.DataFrame({"class_id": ids, "other": None, "links": links})
-        return pd.concat([counts, pd.DataFrame({"class_id": [a for a, _ in edges], "other": [b for _, b in edges], "links": 0})]).astype({"other": "Int64"})
+        return pd.concat([counts, pd.DataFrame({"class_id": ids[hung], "other": ids[label[hung]], "links": 0})]).astype({"other": "Int64"})
 
     return verify
 
