@@ -6,7 +6,8 @@ room, a bin opens at the length with the least expected cost per token (a fixed
 the tokens it can expect to hold). At the end every bin shrinks to the smallest permitted length that holds its contents.
 
 Blocks follow the row count alone, so neither a hot source nor a repeated doc_id makes one large. A text without words
-is a piece of no tokens and rides in any bin. Repeated rows are pieces of their own. Empty tables give no rows.
+is a piece of no tokens and rides in any bin. Repeated rows are pieces of their own. A null doc_id is packed and stays null.
+Other columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -62,19 +63,21 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, block: int = BLOCK
     """doc_id, piece, n_tokens, bin, start (in the bin) and length (of the bin), for every piece of every row."""
     most = max(lengths)
     words = F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", words.alias("_n"))
+    # In a pandas frame a null would turn a whole column of ids into floats, so nulls travel as a flag.
+    sized = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), words.alias("_n"))
     whole = f"sequence(0, greatest(0, cast((_n - 1) div {most} as int)))"
-    pieces = sized.select("doc_id", "_n", F.explode(F.expr(whole)).alias("piece"))
-    pieces = cut(pieces.select("doc_id", F.col("piece").cast("long").alias("piece"), F.expr(f"least({most}, _n - piece * {most})").alias("n_tokens")))
+    pieces = sized.select("doc_id", "unnamed", "_n", F.explode(F.expr(whole)).alias("piece"))
+    pieces = cut(pieces.select("doc_id", "unnamed", F.col("piece").cast("long").alias("piece"), F.expr(f"least({most}, _n - piece * {most})").alias("n_tokens")))
     blocks = max(1, -(-pieces.count() // block))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True])
+        frame = frame.sort_values(["n_tokens", "unnamed", "doc_id", "piece"], ascending=[False, True, True, True])
         bins, offsets, final = best_fit(frame["n_tokens"].to_numpy(), lengths)
-        return pd.DataFrame({"doc_id": frame["doc_id"], "piece": frame["piece"], "n_tokens": frame["n_tokens"], "bin": (frame["block"].to_numpy() << 32) + bins, "start": offsets, "length": final})
+        return pd.DataFrame({"doc_id": frame["doc_id"], "unnamed": frame["unnamed"], "piece": frame["piece"], "n_tokens": frame["n_tokens"], "bin": (frame["block"].to_numpy() << 32) + bins, "start": offsets, "length": final})
 
-    return dealt.groupBy("block").applyInPandas(each, "doc_id bigint, piece bigint, n_tokens bigint, bin bigint, start bigint, length bigint")
+    packed = dealt.groupBy("block").applyInPandas(each, "doc_id bigint, unnamed boolean, piece bigint, n_tokens bigint, bin bigint, start bigint, length bigint")
+    return packed.select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "piece", "n_tokens", "bin", "start", "length")
 
 
 def op7_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ def _features(s: Slice, min_repeat: int) -> dict[str, np.ndarray]:
     keys, at = windows(words, docs, 3)
     order = np.lexsort((keys, docs[at]))
     same = (keys[order][1:] == keys[order][:-1]) & (docs[at][order][1:] == docs[at][order][:-1])
-    twice = at[order[np.append(False, same) | np.append(same, False)]]
+    twice = at[order[(np.append(False, same) | np.append(same, False))[: len(order)]]]
     covered = np.zeros(len(words) + 3, bool)
     for k in range(3):
         covered[twice + k] = True
@@ -150,10 +150,11 @@ def verdicts(features: DataFrame, most_covered: float = MOST_COVERED, longest_re
 
 
 def keep_unrepetitive(docs: DataFrame, min_repeat: int = MIN_REPEAT, most_covered: float = MOST_COVERED, longest_repeat: int = LONGEST_REPEAT) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    names = docs.columns
-    judged = verdicts(repetition_features(docs, min_repeat, tuple(names)), most_covered, longest_repeat)
-    return judged.where("kept").select(*names)
+    """The rows of ``docs`` that pass, with their own columns, whatever these are called."""
+    own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(new) for c, new in own.items()), F.col("text"))
+    judged = verdicts(repetition_features(renamed, min_repeat, tuple(own.values())), most_covered, longest_repeat)
+    return judged.where("kept").select(*(F.col(new).alias(c) for c, new in own.items()))
 
 
 def op3_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ columns are carried by ``redact_secrets`` and ignored by ``secret_spans``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,13 +28,14 @@ from corpusql.llm.textops import Slice, slices
 @dataclass(frozen=True)
 class Rule:
     """kind: name; pattern: see automaton; least: bytes that a match must have; value: of an assignment, of what follows
-    the sign; base: whether it is one of the three base rules."""
+    the sign; base: whether it is one of the three base rules; until: what a match goes on over where it follows (bytes, a regex)."""
 
     kind: str
     pattern: str
     least: int = 0
     value: int = 0
     base: bool = False
+    until: bytes = b""
 
 
 def _any_case(words: str) -> str:
@@ -45,7 +47,7 @@ RULES = (
     Rule("assign", rf"({_any_case('password|passwd|secret|token|api_?key')})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+", value=6, base=True),
     Rule("access", "AKIA[A-Z0-9]+", least=20, base=True),
     Rule("hex", "[0-9a-f]{8,}", least=24, base=True),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", until=rb"[A-Za-z0-9+/=:,.\s-]*?-----END [A-Z ]*PRIVATE KEY-----"),
     Rule("forge", "gh[pousr]_[A-Za-z0-9]+", least=34),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", least=20),
     Rule("cloud", "AIza[0-9A-Za-z_-]+", least=39),
@@ -122,6 +124,9 @@ class Scanner:
             doc = int(np.searchsorted(s.offsets, a, "right")) - 1
             base = a - int(s.offsets[doc])
             for start, k, end in self.matches(s.data[a:b].tobytes(), mask):
+                if self.rules[k].until:
+                    more = re.compile(self.rules[k].until).match(s.data[a + end : s.offsets[doc + 1]].tobytes())
+                    end += more.end() if more else 0
                 out.setdefault(doc, []).append((base + start, k, base + end))
         return {d: sorted(v) for d, v in out.items()}
 

@@ -91,6 +91,27 @@ def test_first_of_group_stays(docs):
     assert set(range(30)) <= ids and not ids & set(range(90, 98))
 
 
+def test_quality_rules_keep_own_columns(spark):
+    good = " ".join(f"word{k}" for k in range(80))
+    rows = [(1, good, "orig", 7, 8), (2, "short", "orig", 7, 8), (None, good, None, None, 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words long, base_failed long")
+    kept = repetition.keep_unrepetitive(d)
+    assert kept.schema == d.schema
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[2]], key=repr)
+
+
+def test_packing_keeps_wide_ids_beside_null_ones(spark):
+    d = spark.createDataFrame([(9007199254740993, "a b c", 1), (None, "d e", 2), (0, None, 3)], "doc_id long, text string, bin long")
+    got = {r.doc_id: r.n_tokens for r in packing.pack(d).collect()}
+    assert got == {9007199254740993: 3, None: 2, 0: 0}
+
+
+def test_private_key_is_covered_to_its_end(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/IBAAKC\nAQEA==\n-----END RSA PRIVATE KEY-----"
+    d = spark.createDataFrame([(1, f"a {key} b"), (2, "x -----BEGIN PRIVATE KEY----- and no end!")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact_secrets(d).collect()} == {1: "a [secret] b", 2: "x [secret] and no end!"}
+
+
 def test_secrets(docs, texts):
     got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.secret_spans(docs).collect()}
     assign = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
