@@ -374,7 +374,8 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = 3, tile: int = TIL
     of_doc = salted.join(met, ["n_shingles", "d1", "d2", "salt"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "n_shingles")
     of_doc = cut(of_doc)
     parts = max(shuffle_partitions(spark), 16)
-    listed = _all_keys(docs, k, keys, hot).repartition(F.col("key"))  # read twice, moved once
+    # Read twice, moved once: both readings ask for the same rows and columns, so Spark makes the exchange once.
+    listed = _all_keys(docs, k, keys, hot).where("key is not null and doc_id is not null").repartition(F.col("key"))
     stars = listed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
     edges = listed.join(stars, "key").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
     edges = _fewer_edges(edges)
