@@ -248,9 +248,11 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT,
         raise ValueError("depth must be a multiple of eight, and gram at most depth")
     spark = docs.sparkSession
     texts = _texts(docs)
-    rows = _anchor_rows(texts, depth, gram).repartition(F.col("h"))  # read twice, moved once
-    shared = rows.groupBy("h").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.max("twice").alias("twice")).where("low < high or twice").select("h")
-    wanted = rows.select("h", "k1", "k2").join(shared, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
+    # Read twice, moved once: both readings ask for the same rows and columns, so Spark makes the exchange once.
+    rows = _anchor_rows(texts, depth, gram).where("h is not null").repartition(F.col("h"))
+    texts_of = rows.groupBy("h").agg(*(f(k).alias(f.__name__ + k) for f in (F.min, F.max) for k in ("k1", "k2")), F.max("twice").alias("twice"))
+    shared = texts_of.where("mink1 < maxk1 or mink2 < maxk2 or twice").select("h")
+    wanted = rows.join(shared, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "twice")).alias("hs")).select("k1", "k2", F.col("hs.h").alias("hs"))
     path = shared_path(spark, "suffix-texts")
     _once(texts, depth).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).write.parquet(path)
     held = spark.read.parquet(path)
