@@ -249,7 +249,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT,
     spark = docs.sparkSession
     texts = _texts(docs)
     # Read twice, moved once: both readings ask for the same rows and columns, so Spark makes the exchange once.
-    rows = _anchor_rows(texts, depth, gram).where("h is not null").repartition(F.col("h"))
+    rows = _anchor_rows(texts, depth, gram).where("h is not null and k1 is not null and k2 is not null").repartition(F.col("h"))
     texts_of = rows.groupBy("h").agg(*(f(k).alias(f.__name__ + k) for f in (F.min, F.max) for k in ("k1", "k2")), F.max("twice").alias("twice"))
     shared = texts_of.where("mink1 < maxk1 or mink2 < maxk2 or twice").select("h")
     wanted = rows.join(shared, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "twice")).alias("hs")).select("k1", "k2", F.col("hs.h").alias("hs"))

@@ -53,6 +53,7 @@ class Slice:
     def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray):
         self.first, self.data, self.offsets = first, data, offsets
         self.n_docs = len(offsets) - 1
+        self._fold: bool | None = None
 
     def by_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a value for each byte, by document."""
@@ -62,6 +63,9 @@ class Slice:
 
     def sums(self, fold: bool) -> None:
         """Prepare ``hashes``; fold: A-Z count as a-z."""
+        if fold is self._fold:
+            return
+        self._fold = fold
         n = len(self.data)
         up, self._down = powers(n + 1)
         self._run = np.zeros(n + 1, np.uint64)
