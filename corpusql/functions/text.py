@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Latin letters with marks, and the letters that remain without them.
+_MARKED = [c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1]
+_BARE = [unicodedata.normalize("NFD", c)[0] for c in _MARKED]
+#: Entities that markup is decoded for, the ampersand last.
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
 TRUNCATION_MARK = "\n\n... [truncated]\n"
 
 
@@ -60,3 +68,92 @@ def char_windows(text: Column, size: int = 3200, step: int = 2800) -> Column:
     """array<struct<chunk_ix, chunk>>: windows of ``size`` characters every ``step``; one at least."""
     last = F.greatest(F.lit(0), F.ceil(F.length(text) / step).cast("int") - 1)
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk_ix"), F.substring(text, i * step + 1, F.lit(size)).alias("chunk")))
+
+
+def folded(text: Column) -> Column:
+    """Lower case without the marks of Latin letters."""
+    return F.translate(F.lower(text), "".join(_MARKED), "".join(_BARE))
+
+
+def spaced_tokens(text: Column) -> Column:
+    """Runs of letters and digits with one blank before, between and after."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+
+
+def decoded(text: Column) -> Column:
+    """Common entities as the characters that they stand for."""
+    for entity, sign in _ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
+
+
+def html_to_decoded_text(html: Column) -> Column:
+    return F.trim(F.regexp_replace(decoded(html_to_text(html)), "[ \u00a0]+", " "))
+
+
+def combine_or_dash(title: Column, body: Column, most: int = 12_000) -> Column:
+    """The sanitised combination of both; the raw body, the raw title or a dash where nothing is left."""
+    filled = lambda c: F.when(F.length(c) > 0, c)
+    return F.coalesce(filled(combine(sanitize(title, most), sanitize(body, most), most)), filled(title), filled(body), F.lit("-"))
+
+
+def row_key(columns: list[str], present: list[str], number: Column) -> Column:
+    """The first of ``columns`` that a row has and fills, else 'row' and its number."""
+    return F.coalesce(*(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in columns if c in present), F.concat(F.lit("row"), number.cast("string")))
+
+
+def row_hash(columns: list[str]) -> Column:
+    """SHA-256 over the row's fields with a NUL between."""
+    return F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+
+
+def word_set(title: Column, snippet: Column, most: int = 2000) -> Column:
+    """Different lower-cased words (letters, digits and _./-) of title and snippet, sorted."""
+    text = F.substring(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))), 1, most)
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_./-]+"), F.lit(0))))
+
+
+def public_path(path: Column) -> Column:
+    """A work item's file as it is served: forward slashes, below ADO/."""
+    bare = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+", "")
+    return F.concat(F.lit("ADO/"), F.regexp_replace(bare, "^attachments/", ""))
+
+
+def space_of_path(path: Column) -> Column:
+    """ADO for work items' files, else the first part of the path, else ATTACH."""
+    return F.when(path.startswith("ADO/"), F.lit("ADO")).otherwise(F.coalesce(F.nullif(F.trim(F.split(path, "/")[0]), F.lit("")), F.lit("ATTACH")))
+
+
+def absolute_path(path: Column, items_root: str, data_root: str) -> Column:
+    return F.when(path.startswith("ADO/"), F.concat(F.lit(items_root.rstrip("/") + "/"), F.substring(path, 5, 1 << 30))).otherwise(F.concat(F.lit(data_root.rstrip("/") + "/"), path))
+
+
+def id_part(ident: Column, k: int, most: int = 3) -> Column:
+    """Part k (from 0) of an id such as ATT:<document>:<path>, split at most into ``most``."""
+    return F.get(F.split(ident, ":", most), F.lit(k))
+
+
+def filled_url(template: str, **parts: Column) -> Column:
+    """A URL template with {names} replaced by columns."""
+    out = F.lit(template)
+    for name, value in parts.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def json_bytes(*columns: str) -> Column:
+    """UTF-8 bytes of the row's JSON."""
+    return F.octet_length(F.to_json(F.struct(*columns)))
+
+
+def utf8_or_latin(content: Column) -> Column:
+    """A file's text: UTF-8 where it is valid, else Latin-1."""
+    return F.when(F.expr("true") & F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
+
+
+def windows_to_end(size: Column, width: int, overlap: int) -> Column:
+    """array<struct<a, b>>: windows of ``width`` every width - overlap, the last one ending at ``size``; none where it is 0."""
+    step = max(1, width - overlap)
+    count = F.greatest(F.lit(1), F.ceil((size - (width - step)) / step)).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step)
+    return F.when(size > 0, F.transform(F.arrays_zip(starts.alias("a"), F.array_repeat(size, count).alias("n")), lambda x: F.struct(x["a"].alias("a"), F.least(x["a"] + width, x["n"]).alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], replace: list[str], keep_known: list[str] = (), keep_first: list[str] = ()) -> DataFrame:
     """``old`` with ``new`` merged in by key.
 
-    replace: the new value wins; keep_known: the new value wins unless null; keep_first: the old value wins.
+    Of several new rows of one key the last one by its values counts. replace: the new value wins; keep_known: the new value wins unless null; keep_first: the old value wins.
     """
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_one"))
+    new = one.select(*keys, *(F.col(f"_one.{c}").alias(c) for c in rest))
     o = old.withColumn("_old", F.lit(True)).alias("o")
     n = new.withColumn("_new", F.lit(True)).alias("n")
     joined = o.join(n, keys, "full")
@@ -30,10 +33,24 @@ def unchanged(now: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     return now.join(cache.select(*keys).distinct(), keys, "left_semi")
 
 
-def oldest_part(rows: DataFrame, age: str, key: str, percent: int = 5) -> DataFrame:
-    """The oldest ``percent`` of rows, found by a cut-off on (age, key) rather than by ranking all rows."""
-    n = rows.count() * percent // 100
-    return rows.orderBy(age, key).limit(n)
+def oldest_part(rows: DataFrame, age: str, key: str, percent: int = 5, bins: int = 4096) -> DataFrame:
+    """The oldest ``percent`` of rows: all of the bins of ``age`` (a time) before the cut-off, and the oldest of the bin that it falls in.
+
+    Only the counts of the bins reach the driver, and only one bin's rows are ranked.
+    """
+    at = F.unix_micros(F.col(age).cast("timestamp"))
+    n, low, high = rows.agg(F.count("*"), F.min(at), F.max(at)).first()
+    wanted = n * percent // 100
+    if not wanted or low is None:
+        return rows.limit(0)
+    bin_ = F.floor((at - low) / ((high - low) // bins + 1)).cast("int")
+    before = 0
+    for b, size in sorted(tuple(r) for r in rows.where(at.isNotNull()).groupBy(bin_.alias("b")).count().collect()):
+        if before + size >= wanted:
+            break
+        before += size
+    edge = rows.where(bin_ == b).orderBy(age, key).limit(wanted - before)
+    return rows.where(bin_ < b).unionByName(edge)
 
 
 def running_latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +31,9 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir), or in the warehouse where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

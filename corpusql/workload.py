@@ -10,28 +10,17 @@ from pyspark.sql import functions as F
 from corpusql.functions import text as T
 from corpusql.functions import vectors as V
 from corpusql.operators import lexical, merge, retrieval
+from corpusql.registry import REGISTRY, query
 from corpusql.session import table
 from corpusql.sources import tables
 
-_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
-
-
-def query(sql: str):
-    """Registers a query with its DuckDB twin."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]):
-        _REGISTRY[f.__name__] = (f, sql)
-        return f
-
-    return put
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _REGISTRY.items()}
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _REGISTRY.items()}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
 
 
 _DOCS = "docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS space, lang AS type, substr(split_part(text, chr(10), 1), 1, 60) AS title, text FROM documents)"
@@ -242,7 +231,7 @@ def hybrid_fusion(spark, sf_dir):
 @query("WITH r AS (SELECT source, doc_id, length(text) AS n, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run FROM documents) SELECT source, doc_id, CAST(run AS BIGINT) AS running FROM r WHERE run <= 20000")
 def byte_budget_cut(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").alias("n"))
-    return retrieval.budget_cut(d, "n", [F.col("doc_id")], 20_000, ["source"]).select("source", "doc_id", F.col("running").cast("long").alias("running"))
+    return retrieval.budget_cut(d, "n", "doc_id", 20_000, ["source"]).select("source", "doc_id", F.col("running").cast("long").alias("running"))
 
 
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE text ILIKE '%token%' OR regexp_matches(text, '[0-9]{3}-[0-9]{4}')")
@@ -333,3 +322,6 @@ def answer_event_stream(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").groupBy("conv_id")
     roles = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",")
     return c.agg(F.count("*").alias("turns"), roles.alias("roles"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+from corpusql import workload_code, workload_search, workload_store  # noqa: E402, F401  (they register their queries)
