@@ -146,9 +146,13 @@ def search(docs: DataFrame, query: str, columns: tuple[str, ...] = ("id", "title
     """The matching rows of ``docs`` with their score (higher is better). One pass tells the counts, a second the hits."""
     tree = parsed(query)
     every = phrases(tree)
-    texts = [spaced_tokens(folded(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns]
+    # Explode keeps texts and counts as columns of their own, so no phrase folds a text again and no filter counts again.
+    made = [spaced_tokens(folded(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(f"c{i}") for i, c in enumerate(columns)]
+    spaced = docs.select("*", F.explode(F.array(F.struct(*made))).alias("_t"))
+    texts = [F.col(f"_t.c{i}") for i in range(len(columns))]
     length = [F.regexp_count(t, F.lit(r"\S+")) for t in texts]
-    counted = docs.withColumns({f"_tf{i}": _count(w, texts).cast("long") for i, w in enumerate(every)} | {"_length": sum(length[1:], length[0]).cast("long")})
+    counts = [_count(w, texts).cast("long").alias(f"_tf{i}") for i, w in enumerate(every)]
+    counted = spaced.select(*docs.columns, F.explode(F.array(F.struct(*counts, sum(length[1:], length[0]).cast("long").alias("_length")))).alias("_c")).select(*docs.columns, "_c.*")
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(every))))
     name = {w: i for i, w in enumerate(every)}
 

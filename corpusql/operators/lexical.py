@@ -12,9 +12,11 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     """id, length and a column for each term's count: one pass over the texts, nothing exploded."""
-    words = docs.select("*", tokens(F.col("text")).alias("_words"))
-    counts = [F.size(_equal("_words", t)).cast("long").alias(f"tf_{i}") for i, t in enumerate(terms)]
-    return words.select("id", "space", "type", "title", F.size("_words").cast("long").alias("length"), *counts)
+    # Explode keeps tokens and counts as columns of their own, so that a filter on counts does not split texts again.
+    words = docs.select("id", "space", "type", "title", F.explode(F.array(F.struct(tokens(F.col("text")).alias("w")))).alias("_t"))
+    counts = [F.size(_equal("_t.w", t)).cast("long").alias(f"tf_{i}") for i, t in enumerate(terms)]
+    counted = words.select("id", "space", "type", "title", F.explode(F.array(F.struct(F.size("_t.w").cast("long").alias("length"), *counts))).alias("_c"))
+    return counted.select("id", "space", "type", "title", "_c.*")
 
 
 def _equal(column: str, term: str) -> Column:
