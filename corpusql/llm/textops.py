@@ -71,6 +71,11 @@ class Slice:
         self._run = np.zeros(n + 1, np.uint64)
         np.cumsum((_LOWER_VALUES if fold else _VALUES)[self.data] * up[:n], out=self._run[1:])
 
+    def forget_sums(self) -> None:
+        """Free what ``sums`` made."""
+        self._fold = None
+        del self._run, self._down
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = (self._run[ends] - self._run[starts]) * self._down[starts]
         return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))

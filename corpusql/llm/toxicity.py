@@ -55,7 +55,7 @@ class Words:
             at = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             found = s.hashes(at, np.minimum(at + 3, np.repeat(ends, n)))
             found[np.cumsum(n) - n] ^= np.uint64(0x5851F42D4C957F2D)  # a word's first trigram is another than the same inside
-            del s._run, s._down
+            s.forget_sums()
             ids.append(inverse + sum(map(len, names)))
             names.append(own)
             docs.append(of + n_docs)
