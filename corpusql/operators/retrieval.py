@@ -21,19 +21,6 @@ def vector_topk(chunks: DataFrame, query: Column | list[float], k: int, measure=
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def batch_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For each of a stated, small set of queries (query_id, q) the k nearest chunks, in two stages.
-
-    Queries are scored against all rows in blocks; each block keeps its own k best, so what meets by query is
-    k rows a block.
-    """
-    pairs = chunks.join(F.broadcast(queries)).select("query_id", "id", F.round(V.cosine(V.doubles(F.col("embedding")), V.doubles(F.col("q"))), 6).alias("score"), F.spark_partition_id().alias("block"))
-    order = [F.desc("score"), F.col("id")]
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("r") <= k)
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return best.where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
-
-
 def minmax(hits: DataFrame, column: str) -> DataFrame:
     """``column`` scaled to 0..1 over a hit list (0 where all are equal); hit lists are top-k, so this is small."""
     w = Window.partitionBy(F.lit(1))

@@ -200,12 +200,11 @@ def vector_l2_similarity(spark, sf_dir):
     return tables.chunks(spark, sf_dir).select("id", F.round(V.l2_similarity(V.doubles(F.col("embedding")), q), 6).alias("score"))
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 8), s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 10")
+@query("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 10")
 def vector_batch_topk(spark, sf_dir):
     c = tables.chunks(spark, sf_dir)
-    q = c.where("id < 8").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    out = retrieval.batch_topk(c, q, 10)
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    q = c.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    return retrieval.block_topk(c, q, 10)
 
 
 @query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM v), m AS (SELECT id, v[1:16] AS c FROM v), k AS (SELECT id, c, sqrt(list_dot_product(c, c)) AS cn FROM m) SELECT n.id, round(CASE WHEN n.n > 0 THEN v[1] / n.n ELSE v[1] END, 6) AS unit_first, round(CASE WHEN cn > 0 THEN c[1] / cn ELSE c[1] END, 6) AS cut_first FROM n JOIN k ON n.id = k.id")
@@ -259,11 +258,12 @@ def xref_co_stem(spark, sf_dir):
     return a.join(b, "stem").where("src <> dst").select("src", "dst", "stem")
 
 
-@query("WITH o AS (SELECT doc_id, source, lang, n_chars FROM documents WHERE doc_id < 600), n AS (SELECT doc_id, 'new' AS source, CAST(NULL AS VARCHAR) AS lang, n_chars + 1 AS n_chars FROM documents WHERE doc_id >= 400) SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.source ELSE o.source END AS source, coalesce(n.lang, o.lang) AS lang, CASE WHEN o.doc_id IS NOT NULL THEN o.n_chars ELSE n.n_chars END AS n_chars FROM o FULL JOIN n ON o.doc_id = n.doc_id")
+@query("WITH o AS (SELECT doc_id, 'label' AS source, 'xx' AS lang, CAST(quality AS BIGINT) AS n_chars FROM labels), n AS (SELECT doc_id, source, nullif(lang, 'en') AS lang, CAST(n_chars AS BIGINT) AS n_chars FROM documents) SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.source ELSE o.source END AS source, coalesce(n.lang, o.lang) AS lang, CASE WHEN o.doc_id IS NOT NULL THEN o.n_chars ELSE n.n_chars END AS n_chars FROM o FULL JOIN n ON o.doc_id = n.doc_id")
 def upsert_merge_docs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    new = d.where("doc_id >= 400").select("doc_id", F.lit("new").alias("source"), F.lit(None).cast("string").alias("lang"), (F.col("n_chars") + 1).alias("n_chars"))
-    return merge.upsert(d.where("doc_id < 600"), new, ["doc_id"], ["source"], ["lang"], ["n_chars"])
+    """All documents merged into rows that are there for the labelled ones."""
+    old = table(spark, sf_dir, "labels").select("doc_id", F.lit("label").alias("source"), F.lit("xx").alias("lang"), F.col("quality").cast("long").alias("n_chars"))
+    new = table(spark, sf_dir, "documents").select("doc_id", "source", F.nullif("lang", F.lit("en")).alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
+    return merge.upsert(old, new, ["doc_id"], ["source"], ["lang"], ["n_chars"])
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -287,10 +287,12 @@ def vector_alignment(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").agg(F.count("*").alias("vectors"), F.count("embedding").alias("with_vector"), F.count_if(F.size("embedding") == 64).alias("right_dim"))
 
 
-@query("WITH c AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 3 = 0) SELECT d.doc_id FROM documents d JOIN c ON d.doc_id = c.doc_id AND d.n_chars = c.n_chars")
+@query("WITH c AS (SELECT d.doc_id, d.n_chars + l.toxic AS n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id) SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM c WHERE d.doc_id = c.doc_id AND d.n_chars = c.n_chars)")
 def incremental_unchanged(spark, sf_dir):
+    """Documents against a cache of the labelled ones, in which the toxic ones have another size."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return merge.unchanged(d, d.where("doc_id % 3 = 0"), ["doc_id", "n_chars"]).select("doc_id")
+    cache = d.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").select("doc_id", (F.col("n_chars") + F.col("toxic")).alias("n_chars"))
+    return merge.unchanged(d, cache, ["doc_id", "n_chars"]).select("doc_id")
 
 
 @query("SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT (SELECT CAST(count(*) * 5 // 100 AS BIGINT) FROM events)")
@@ -298,10 +300,11 @@ def cache_evict_oldest(spark, sf_dir):
     return merge.oldest_part(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id")
 
 
-@query("WITH c AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id < 500) SELECT doc_id, sha256(text) IN (SELECT h FROM c) AS hit FROM documents")
+@query("WITH c AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels)) SELECT doc_id, coalesce(sha256(text) IN (SELECT h FROM c), false) AS hit FROM documents")
 def cache_hits_misses(spark, sf_dir):
+    """Texts against a cache of the hashes of the labelled ones."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    cache = d.where("doc_id < 500").select("h").distinct().withColumn("hit", F.lit(True))
+    cache = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("h").distinct().withColumn("hit", F.lit(True))
     return d.join(cache, "h", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
