@@ -5,9 +5,11 @@ Four of them, with fixed validity rules, are the base, and their valid spans alw
 base misses (written-out addresses, local phone numbers, identity numbers, account numbers, long numbers) and propose
 freely, overlaps included. Every candidate gets format features (digits, separators, length, check sum, neighbours) and a
 context feature (a cue word in the forty characters before it). Boosted trees of depth two are fitted to these and
-become one CASE expression; a family's threshold is the least score that reaches PRECISION over at least SUPPORT
-candidates. A family without one, as a rare kind's, selects by the labels' own rule (cue word and check sum). A selected
-span that overlaps a base span is dropped.
+become one CASE expression. Thresholds are calibrated by cross-fitting: the documents are dealt into two folds, each
+scored by trees that the other one taught, and a family's threshold is the least of these scores that reaches PRECISION
+over at least SUPPORT candidates. A family without one, as a rare kind's, selects by the labels' own rule (cue word and
+check sum). Selected spans stand in order of their scores, the longer and then the earlier one first where these tie; one
+that overlaps a base span or a span that stands is dropped, so only base spans may overlap each other.
 
 Training labels are weak: base candidates by their validity rules, others by their cue word and check sum. Training
 counts the candidates of all documents; the driver gets only counts of the distinct feature vectors, whose number is
@@ -132,8 +134,9 @@ def featured(text: Column, code: int, g: Generator, spans: Column) -> Column:
 class Trees:
     """Gradient boosting for the logistic loss on integer features, by distinct feature vectors and their counts."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, count: np.ndarray, trees: int = TREES, rate: float = RATE, precision: float = PRECISION):
+    def __init__(self, x: np.ndarray, y: np.ndarray, count: np.ndarray, trees: int = TREES, rate: float = RATE):
         self.trees: list[tuple] = []
+        self.thresholds: dict[int, float | None] = {}
         self.bias = float(np.log((count[y == 1].sum() + 1) / (count[y == 0].sum() + 1))) if len(x) else -10.0
         score = np.full(len(x), self.bias)
         for _ in range(trees if len(x) else 0):
@@ -141,7 +144,15 @@ class Trees:
             tree = self._grow(x, count * (y - p), count * p * (1 - p), 2, rate)
             self.trees.append(tree)
             score += self._apply(tree, x)
-        self.thresholds = {int(f): self._threshold(score[x[:, 0] == f], y[x[:, 0] == f], count[x[:, 0] == f], precision) for f in (np.unique(x[:, 0]) if len(x) else [])}
+
+    def calibrate(self, x: np.ndarray, score: np.ndarray, y: np.ndarray, count: np.ndarray, precision: float = PRECISION) -> None:
+        """Thresholds by family from scores that trees gave to candidates they had not seen."""
+        for f in np.unique(x[:, 0]) if len(x) else []:
+            own = x[:, 0] == f
+            self.thresholds[int(f)] = self._threshold(score[own], y[own], count[own], precision)
+
+    def scored(self, x: np.ndarray) -> np.ndarray:
+        return self.bias + sum((self._apply(tree, x) for tree in self.trees), np.zeros(len(x)))
 
     def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float):
         total = (g.sum(), h.sum() + 1)
@@ -167,16 +178,14 @@ class Trees:
 
     @staticmethod
     def _threshold(score: np.ndarray, y: np.ndarray, count: np.ndarray, precision: float) -> float | None:
-        """The least score from which on the sample's share of true candidates is ``precision``."""
+        """The least score from which on the share of true candidates is ``precision``."""
         order = np.argsort(-score, kind="stable")
         score, good, every = score[order], np.cumsum((count * y)[order]), np.cumsum(count[order])
         last = np.append(score[1:] != score[:-1], True)
         fits = np.flatnonzero(last & (good >= precision * every) & (every >= SUPPORT))
         return float(score[fits[-1]]) if len(fits) else None
 
-    def chosen(self, x: Column) -> Column:
-        """Whether a candidate's score reaches its family's threshold; without one, whether its label is sure."""
-
+    def score(self, x: Column) -> Column:
         def value(tree) -> Column:
             if not isinstance(tree, tuple):
                 return F.lit(tree)
@@ -185,11 +194,15 @@ class Trees:
         score = F.lit(self.bias)
         for tree in self.trees:
             score = score + value(tree)
+        return score
+
+    def chosen(self, x: Column) -> Column:
+        """Whether a candidate's ``score`` reaches its family's threshold; without one, whether its label is sure."""
         least = F.lit(None).cast("double")
         for family, t in self.thresholds.items():
             if t is not None:
                 least = F.when(x["family"] == family, F.lit(t - 1e-9)).otherwise(least)
-        return F.coalesce(score >= least, x["sure"])
+        return F.coalesce(x["score"] >= least, x["sure"])
 
 
 def _candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -201,12 +214,29 @@ def _candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def train(docs: DataFrame) -> Trees:
-    """Trees fitted to the candidates of all documents."""
-    rows = _candidates(docs, [])
-    every = rows.select(F.explode(F.concat(*(g.kind for g in GENERATORS))).alias("x"))
-    counts = every.groupBy(*(F.col(f"x.{k}").alias(k) for k in FEATURES), F.col("x.sure").cast("int").alias("sure")).count().collect()
-    table = np.array(sorted(map(tuple, counts)), np.int64).reshape(-1, len(FEATURES) + 2)
-    return Trees(table[:, : len(FEATURES)], table[:, -2].astype(float), table[:, -1].astype(float))
+    """Trees fitted to the candidates of all documents, thresholds from the scores of either fold by the other's trees."""
+    rows = _candidates(docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")), ["fold"])
+    every = rows.select("fold", F.explode(F.concat(*(g.kind for g in GENERATORS))).alias("x"))
+    counts = every.groupBy(*(F.col(f"x.{k}").alias(k) for k in FEATURES), F.col("x.sure").cast("int").alias("sure"), "fold").count().collect()
+    table = np.array(sorted(map(tuple, counts)), np.int64).reshape(-1, len(FEATURES) + 3)
+    x, y, fold, count = table[:, : len(FEATURES)], table[:, -3].astype(float), table[:, -2], table[:, -1].astype(float)
+    unseen = np.zeros(len(x))
+    for k in range(2):
+        unseen[fold == k] = Trees(x[fold != k], y[fold != k], count[fold != k]).scored(x[fold == k])
+    trees = Trees(x, y, count)
+    trees.calibrate(x, unseen, y, count)
+    return trees
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _standing(spans: Column) -> Column:
+    """Of spans (rank, start, end, ...) those that overlap none of lower rank that stands, by generator, then start."""
+    none = F.filter(spans, lambda x: F.lit(False))
+    kept = F.aggregate(F.array_sort(spans), none, lambda acc, x: F.when(F.exists(acc, lambda b: _overlap(b, x)), acc).otherwise(F.array_append(acc, x)))
+    return F.array_sort(kept, lambda a, b: F.when(a["generator"] != b["generator"], a["generator"] - b["generator"]).otherwise((a["start"] - b["start"]).cast("int")))
 
 
 def personal_spans(docs: DataFrame, trees: Trees) -> DataFrame:
@@ -216,11 +246,18 @@ def personal_spans(docs: DataFrame, trees: Trees) -> DataFrame:
     def named(g: Generator, spans: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(F.lit(g.kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(g.base).alias("base")))
 
+    def ranked(g: Generator, code: int) -> Column:
+        scored = F.transform(g.kind, lambda x: F.struct(x["family"].alias("family"), x["sure"].alias("sure"), x["start"].alias("start"), x["end"].alias("end"), trees.score(x).alias("score")))
+        rank = lambda x: F.struct((-x["score"]).alias("worse"), (x["start"] - x["end"]).alias("shorter"))
+        return F.transform(F.filter(scored, trees.chosen), lambda x: F.struct(rank(x).alias("rank"), x["start"].alias("start"), F.lit(code).alias("generator"), x["end"].alias("end"), F.lit(g.kind).alias("kind"), F.lit(False).alias("base")))
+
     base = F.concat(*(named(g, F.filter(g.kind, lambda x: x["sure"])) for g in GENERATORS if g.base))
-    more = F.concat(*(named(g, F.filter(g.kind, trees.chosen)) for g in GENERATORS if not g.base))
+    more = F.concat(*(ranked(g, i) for i, g in enumerate(GENERATORS) if not g.base))
     rows = rows.select("doc_id", base.alias("base"), more.alias("more"))
-    free = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return rows.select("doc_id", F.concat("base", free).alias("spans"))
+    rows = rows.select("doc_id", "base", F.filter("more", lambda x: ~F.exists("base", lambda b: _overlap(b, x))).alias("free"))
+    free = F.when(F.size("free") > 1, _standing(F.col("free"))).otherwise(F.col("free"))
+    plain = F.transform(free, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base")))
+    return rows.select("doc_id", F.concat("base", plain).alias("spans"))
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
