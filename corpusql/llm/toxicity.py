@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
 A word enters as a hashed word vector beside the mean of its hashed character trigrams. Windows of WINDOW words, one
-beginning every STRIDE words and a last one at the text's end, overlap; each is read by a GRU in either direction, its
+beginning every STRIDE words and a last one at the text's end, overlap by half, so a passage of up to WINDOW - STRIDE + 1
+words lies whole in one of them; each is read by a GRU in either direction, its
 states are pooled by attention, and a text's score is that of its most toxic window, calibrated on the training texts.
 
 Training sees texts and labels of the given rows only: at most MOST_TOXIC and MOST_CLEAN texts of either label, the
@@ -10,7 +11,8 @@ longest texts give fewer, drawn evenly over the whole text (bounds of the sample
 every window takes its text's label; then, as in multiple-instance learning, only the most toxic window of each text does, so that clean
 windows of toxic texts no longer count as toxic. The weights (2 MB) go to the tasks as a broadcast.
 
-Null and empty texts score the training rows' share of toxic ones. Repeated rows get equal scores. No labels, or labels of
+Null and empty texts score the training rows' share of toxic ones. Repeated rows get equal scores. A document labelled
+more than once is toxic if one of its labels says so. No labels, or labels of
 one kind only: that constant share for all. Extra columns are ignored; label, language, source and id are no inputs.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from corpusql.llm.common import cut, table
 from corpusql.llm.textops import PUNCTUATION, Slice, slices
 
-WINDOW, STRIDE, HIDDEN, WIDTH = 32, 24, 8, 8
+WINDOW, STRIDE, HIDDEN, WIDTH = 32, 16, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 13
 #: (texts, windows of all of them) that training takes of either label.
 MOST_CLEAN, MOST_TOXIC, SEED = (3000, 150_000), (1000, 50_000), 11
@@ -340,7 +342,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out).dropDuplicates(["doc_id"])
+    labels = table(spark, sf_dir, "labels").where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     net = train_on(docs.select("doc_id", "text"), labels)
     scored = score(docs, net)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
