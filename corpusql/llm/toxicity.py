@@ -43,6 +43,14 @@ def _windows(n: np.ndarray) -> np.ndarray:
     return np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(int))
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, an order that brings equal ones together, and where each begins in it."""
+    order = np.argsort(keys, kind="stable")
+    in_order = keys[order]
+    first = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+    return in_order[first], order, first
+
+
 class Words:
     """The distinct words of some slices: rows of their word vectors, and of their trigrams' vectors end to end."""
 
@@ -157,8 +165,10 @@ class Network:
         g["att"] = np.einsum("tn,tnh->h", d_weight, states)
         d_states = weight[:, :, None] * d_pooled + d_weight[:, :, None] * self.p["att"]
         d_x = np.zeros_like(x_all)
+        held, order, first = _grouped(local.T.ravel())  # a word's gradient is the sum over its places in the windows
+        first_word = int(held[0] == -1)  # padding, if any, comes first
         for k, d in enumerate("fb"):
-            d_gates = np.zeros((len(used) + 1, 3 * HIDDEN), np.float32)
+            at = np.zeros((WINDOW, len(ids), 3 * HIDDEN), np.float32)
             dh = np.zeros((len(ids), HIDDEN), np.float32)
             g[f"u{d}"], g[f"v{d}"] = np.zeros_like(self.p[f"u{d}"]), np.zeros_like(self.p[f"v{d}"])
             for t, h, z, r, new, rest, inside in reversed(keep[d]):
@@ -168,11 +178,11 @@ class Network:
                 dn = own * (1 - z) * (1 - new * new)
                 dr = dn * rest * r * (1 - r)
                 hidden = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(d_gates, local[:, t], np.concatenate([dz, dr, dn], axis=1))
+                at[t] = np.concatenate([dz, dr, dn], axis=1)
                 g[f"u{d}"] += h.T @ hidden
                 g[f"v{d}"] += hidden.sum(0)
                 dh = np.where(inside, own * z + hidden @ self.p[f"u{d}"].T, dh)
-            d_gates = d_gates[:-1]
+            d_gates = np.add.reduceat(at.reshape(-1, 3 * HIDDEN)[order], first)[first_word:]
             g[f"w{d}"], g[f"c{d}"] = x_all.T @ d_gates, d_gates.sum(0)
             d_x += d_gates @ self.p[f"w{d}"].T
         self._step(words, used, g, d_x, rate)
@@ -180,10 +190,10 @@ class Network:
     def _some_inputs(self, words: Words, used: np.ndarray) -> np.ndarray:
         begin = np.cumsum(words.count) - words.count
         n = words.count[used]
-        self._gram_at = np.repeat(begin[used], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = np.cumsum(n) - n
+        self._gram_at = np.repeat(begin[used] - first, n) + np.arange(n.sum())
         self._gram_of = np.repeat(np.arange(len(used)), n)
-        chars = np.zeros((len(used), WIDTH), np.float32)
-        np.add.at(chars, self._gram_of, self.p["char"][words.grams[self._gram_at]])
+        chars = np.add.reduceat(self.p["char"][words.grams[self._gram_at]], first)  # every word has a trigram
         return np.concatenate([self.p["word"][words.rows[used]], chars / n[:, None]], axis=1).astype(np.float32)
 
     def _step(self, words: Words, used: np.ndarray, g: dict, d_x: np.ndarray, rate: float) -> None:
@@ -193,9 +203,8 @@ class Network:
             self.p[k] -= rate * grad / np.sqrt(self._seen[k])
         n = words.count[used]
         for k, rows, grad in (("word", words.rows[used], d_x[:, :WIDTH]), ("char", words.grams[self._gram_at], (d_x[:, WIDTH:] / n[:, None])[self._gram_of])):
-            own, where = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(own), WIDTH), np.float32)
-            np.add.at(total, where, grad)
+            own, order, first = _grouped(rows)
+            total = np.add.reduceat(grad[order], first)
             self._seen[k][own] += total * total
             self.p[k][own] -= rate * total / np.sqrt(self._seen[k][own])
 
