@@ -88,9 +88,12 @@ class Words:
         doc = np.repeat(np.arange(self.n_docs), per)
         k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
         start = begin[doc] + np.minimum(k * STRIDE, np.maximum(n[doc] - WINDOW, 0))
-        at = start[:, None] + np.arange(WINDOW)
-        inside = at < (begin + n)[doc][:, None]
-        return doc, np.where(inside, self.ids[np.minimum(at, len(self.ids) - 1)] if len(self.ids) else 0, -1)
+        end = (begin + n)[doc]
+        ids = np.empty((len(doc), WINDOW), np.int32)
+        for a in range(0, len(doc), 1 << 14):
+            at = start[a : a + (1 << 14), None] + np.arange(WINDOW)
+            ids[a : a + (1 << 14)] = np.where(at < end[a : a + (1 << 14), None], self.ids[np.minimum(at, len(self.ids) - 1)], -1)
+        return doc, ids
 
 
 class Network:
