@@ -156,7 +156,7 @@ def with_groups(kept: DataFrame, groups: DataFrame) -> DataFrame:
     return kept.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int")).join(salted, ["lang", "source", "_salt"]).drop("_salt")
 
 
-def _pair_sums(key, counts: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+def _pair_sums(key: tuple, counts: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
     """Sums of divergences of the tile's sources from all sources, over one shard's terms."""
     groups = groups.sort_values("g_place")
     base, place = groups["g_p"].to_numpy(np.int64), groups["g_place"].to_numpy(np.int64)

@@ -1,8 +1,8 @@
 """A Merkle manifest of a table: a tree for each language over its documents, one over the languages, and proofs.
 
 Nodes carry the interval of leaf ranks that they cover. Leaves are ranked within their group by a range partitioning and
-offsets of its parts, so no group is ever one task's. The tree is built upwards in strides of SPAN levels: members of a
-stride are bucketed by the interval of the block that holds them (2**SPAN members at most), and a block's nodes are hashed
+offsets of its parts, so no group is ever one task's. The tree is built upwards in strides of ``span`` levels: members of a
+stride are bucketed by the interval of the block that holds them (2**span members at most), and a block's nodes are hashed
 together. Proofs come downwards: members meet the nodes of their block by containment of intervals, which attaches all
 their ancestors; what a parent's interval covers besides the node's own is its sibling. The path of a block's highest
 node was found in the stride before, so it is put behind. Proofs are as long as the tree is high; they move only once, out of
@@ -60,19 +60,19 @@ def _height(total: int) -> int:
     return (int(total) - 1).bit_length()
 
 
-def _block_of(stride: int) -> Column:
-    return F.shiftright("lo", SPAN * (stride + 1)).alias("block")
+def _block_of(stride: int, span: int, lo: str = "lo") -> Column:
+    return F.shiftright(lo, span * (stride + 1)).alias("block")
 
 
-def _nodes_of(stride: int):
+def _nodes_of(stride: int, span: int):
     """Hashes a block of members up to the block's highest level, or to the group's root."""
 
-    def build(key, members: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("lo")
-        total, base = int(members["total"].iloc[0]), SPAN * stride
+        total, base = int(members["total"].iloc[0]), span * stride
         lo, hi, digest = members["lo"].tolist(), members["hi"].tolist(), members["digest"].tolist()
         rows = [pd.DataFrame({"level": base, "lo": lo, "hi": hi, "digest": digest})]
-        for level in range(base, min(base + SPAN, _height(total))):
+        for level in range(base, min(base + span, _height(total))):
             heads = range(0, len(lo), 2)
             digest = [hashlib.sha256("".join(digest[i : i + 2]).encode()).hexdigest() for i in heads]
             lo, hi = [lo[i] for i in heads], [hi[min(i + 1, len(hi) - 1)] for i in heads]
@@ -82,37 +82,38 @@ def _nodes_of(stride: int):
     return build
 
 
-def strides(leaves: DataFrame, highest: int) -> list[DataFrame]:
+def strides(leaves: DataFrame, highest: int, span: int = SPAN) -> list[DataFrame]:
     """The nodes (grp, total, level, lo, hi, digest) of each stride, lowest first, over leaves (grp, total, lo, hi, digest) of trees of at most ``highest`` levels."""
     found, members = [], leaves.select("grp", "total", "lo", "hi", "digest")
-    for s in range(max(1, -(-highest // SPAN))):
-        made = members.groupBy("grp", _block_of(s)).applyInPandas(_nodes_of(s), _NODES)
+    for s in range(max(1, -(-highest // span))):
+        made = members.groupBy("grp", _block_of(s, span)).applyInPandas(_nodes_of(s, span), _NODES)
         found.append(cut(made))
-        top = SPAN * (s + 1)
+        top = span * (s + 1)
         members = found[-1].where((F.col("level") == top) & (F.col("total") > F.lit(1 << top))).drop("level")
     return found
 
 
-def roots(found: list[DataFrame]) -> DataFrame:
+def roots(found: list[DataFrame], span: int = SPAN) -> DataFrame:
     """grp, total and digest of each tree's root."""
     out = None
     for s, nodes in enumerate(found):
-        mine = nodes.where((F.col("level") == F.ceil(F.log2("total")).cast("int")) & (F.col("total") <= F.lit(1 << SPAN * (s + 1))))
-        mine = mine.where(F.col("total") > F.lit(1 << SPAN * s)) if s else mine
+        mine = nodes.where((F.col("level") == F.ceil(F.log2("total")).cast("int")) & (F.col("total") <= F.lit(1 << span * (s + 1))))
+        mine = mine.where(F.col("total") > F.lit(1 << span * s)) if s else mine
         out = mine if out is None else out.unionByName(mine)
     return out.select("grp", "total", "digest")
 
 
-def _paths_of(stride: int, names: list[str]):
+def _paths_of(stride: int, span: int, names: list[str]):
     """Members of a block against its nodes: ancestors by containment, siblings by the difference of intervals."""
 
-    def attach(key, members: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+    def attach(key: tuple, members: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         if members.empty:
             return pd.DataFrame({n: pd.Series(dtype=object) for n in [*names, "path", "subroot", "root"]})
+        nodes = nodes.rename(columns=lambda c: c.removeprefix("n_"))
         lo, paths = members["lo"].to_numpy(), [[] for _ in range(len(members))]
         levels = {level: (g["lo"].to_numpy(), g["hi"].to_numpy(), g["digest"].tolist()) for level, g in nodes.sort_values(["level", "lo"]).groupby("level")}
         top = max(levels)
-        for level in range(SPAN * stride, top):
+        for level in range(span * stride, top):
             at, to, digests = levels[level]
             up, up_to, _ = levels[level + 1]
             own = np.searchsorted(at, lo, "right") - 1
@@ -129,16 +130,17 @@ def _paths_of(stride: int, names: list[str]):
     return attach
 
 
-def proofs(leaves: DataFrame, found: list[DataFrame], above: DataFrame) -> DataFrame:
+def proofs(leaves: DataFrame, found: list[DataFrame], above: DataFrame, span: int = SPAN) -> DataFrame:
     """``leaves`` with path, subroot and root. above: path, subroot and root of each group's root (grp, total)."""
     top = F.ceil(F.log2("total")).cast("int")
     known = above.select("grp", top.alias("level"), F.lit(0).cast("long").alias("lo"), "path", "subroot", "root")
     for s in reversed(range(len(found))):
-        members = leaves if s == 0 else found[s].where(F.col("level") == SPAN * s)
+        members = leaves if s == 0 else found[s].where(F.col("level") == span * s)
         nodes = found[s].join(known, ["grp", "level", "lo"], "left")
+        nodes = nodes.select(*(F.col(c).alias(f"n_{c}") for c in nodes.columns))  # new names, as members can come from the same table
         kind = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in members.schema)}, path array<string>, subroot string, root string"
-        pairs = members.groupBy("grp", _block_of(s)).cogroup(nodes.groupBy("grp", _block_of(s)))
-        made = pairs.applyInPandas(_paths_of(s, members.columns), kind)
+        pairs = members.groupBy("grp", _block_of(s, span)).cogroup(nodes.groupBy("n_grp", _block_of(s, span, "n_lo")))
+        made = pairs.applyInPandas(_paths_of(s, span, members.columns), kind)
         if s == 0:
             return made
         known = cut(made.select("grp", "level", "lo", "path", "subroot", "root").unionByName(known))
@@ -159,22 +161,22 @@ def siblings_hash(path: Column) -> Column:
     return F.sha2(F.array_join(F.transform(path, lambda entry: F.substring(entry, 2, 64)), "").cast("binary"), 256)
 
 
-def manifest(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+def manifest(rows: DataFrame, group: str, order: list[str], span: int = SPAN) -> DataFrame:
     """``rows`` (with leaf) with subroot (of its ``group``), root and path, the siblings from the leaf to the root."""
     grp = F.when(F.col(group).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(group)))  # null first
     leaves = rows.select(*rows.columns, grp.alias("grp"), F.col("leaf").alias("digest"))
     leaves = cut(ranked(leaves, [*order, "leaf"], rows.count()))
     most = leaves.agg(F.max("total")).first()[0] or 0
-    nodes = strides(leaves, _height(max(1, most)))
-    tops = cut(roots(nodes))
+    nodes = strides(leaves, _height(max(1, most)), span)
+    tops = cut(roots(nodes, span))
     n_tops = tops.count()
     highest = ranked(tops.select(F.lit("all").alias("grp"), F.col("grp").alias("member"), F.col("total").alias("leaves"), "digest"), ["member"], n_tops)
     highest = cut(highest)
-    upper = strides(highest, _height(max(1, n_tops)))
-    end = roots(upper).select("grp", "total", F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
-    above = proofs(highest, upper, end)
+    upper = strides(highest, _height(max(1, n_tops)), span)
+    end = roots(upper, span).select("grp", "total", F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
+    above = proofs(highest, upper, end, span)
     above = cut(above.select(F.col("member").alias("grp"), F.col("leaves").alias("total"), "path", F.col("digest").alias("subroot"), "root"))
-    return proofs(leaves, nodes, above).select(*rows.columns, "path", "subroot", "root")
+    return proofs(leaves, nodes, above, span).select(*rows.columns, "path", "subroot", "root")
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
