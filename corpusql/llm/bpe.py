@@ -36,7 +36,7 @@ from corpusql.llm.common import table
 from corpusql.llm.textops import Slice, slices
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
-KEPT_PIECES, KEPT_PAIRS, SLICE = 500_000, 2_000_000, 4 << 20
+KEPT_PIECES, KEPT_PAIRS, SLICE = 400_000, 400_000, 1 << 20
 # White space of the splitting pattern, and its endings of English words.
 WHITE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # Letters and numbers of Unicode 16 that older tables of the standard library lack, as first and last code points.
@@ -63,18 +63,40 @@ def sign_bytes() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-class Codec:
-    """The tables of one vocabulary file (its JSON), and encoding and decoding by them."""
+class Vocabulary:
+    """The pieces of one vocabulary file (its JSON), and decoding by their offsets."""
 
     def __init__(self, content: str):
+        found = json.loads(content)
+        self._read(found)
+        size = max(self.pieces, default=-1) + 1
+        self.size = [len(self.pieces.get(i, b"")) for i in range(size)]
+        self.offsets = np.concatenate([[0], np.cumsum(np.array(self.size, np.int64))])
+        self.table = np.frombuffer(b"".join(self.pieces.get(i, b"") for i in range(size)), np.uint8)
+
+    def _read(self, found: dict) -> None:
+        signs = sign_bytes()
+        self.ids = {bytes(signs[c] for c in p): i for p, i in found["model"]["vocab"].items()}
+        self.special = {t["content"].encode(): t["id"] for t in found.get("added_tokens", [])}
+        self.pieces: dict[int, bytes] = {i: p for p, i in self.ids.items()} | {i: p for p, i in self.special.items()}
+
+    def decode_ids(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, gathered from the table of all pieces by its offsets."""
+        ids = ids[ids < len(self.offsets) - 1].astype(np.int64)
+        n = self.offsets[ids + 1] - self.offsets[ids]
+        ends = np.cumsum(n)
+        return self.table[np.repeat(self.offsets[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+
+class Codec(Vocabulary):
+    """Encoding too: the merges, the automaton of the tokens and what is known of pairs and pieces."""
+
+    def _read(self, found: dict) -> None:
         import ahocorasick
 
-        found = json.loads(content)
+        super()._read(found)
         model, signs = found["model"], sign_bytes()
         plain = lambda piece: bytes(signs[c] for c in piece)
-        self.ids = {plain(p): i for p, i in model["vocab"].items()}
-        self.special = {t["content"].encode(): t["id"] for t in found.get("added_tokens", [])}
-        self.pieces: dict[int, bytes] = {i: p for p, i in self.ids.items()} | {i: p for p, i in self.special.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -97,11 +119,7 @@ class Codec:
         self._pairs: dict[tuple[int, int], bool] = {}
         self._kept: dict[bytes, bytes] = {}
         self.classes = _classes()
-        size = max(self.pieces, default=-1) + 1
-        self.size = [len(self.pieces.get(i, b"")) for i in range(size)]
-        self.shorter = [self._shorter(self.pieces.get(i, b"")) for i in range(size)]
-        self.offsets = np.concatenate([[0], np.cumsum(np.array(self.size, np.int64))])
-        self.table = np.frombuffer(b"".join(self.pieces.get(i, b"") for i in range(size)), np.uint8)
+        self.shorter = [self._shorter(self.pieces.get(i, b"")) for i in range(max(self.pieces, default=-1) + 1)]
 
     def _shorter(self, piece: bytes) -> int:
         """The longest token that is a proper prefix, -1 where there is none."""
@@ -273,13 +291,6 @@ class Codec:
         run = np.concatenate([[0], ends])
         return ids, np.diff(run[np.searchsorted(at, bounds)])
 
-    def decode_ids(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids, gathered from the table of all pieces by its offsets."""
-        ids = ids[ids < len(self.offsets) - 1].astype(np.int64)
-        n = self.offsets[ids + 1] - self.offsets[ids]
-        ends = np.cumsum(n)
-        return self.table[np.repeat(self.offsets[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-
 
 def _places(data: np.ndarray, piece: bytes) -> list[int]:
     content, found, at = data.tobytes(), [], -1
@@ -296,16 +307,16 @@ def _apart(marks: list) -> list:
     return out
 
 
-_codecs: dict[int, Codec] = {}
+_known: dict[tuple, Vocabulary] = {}
 
 
-def _codec(content) -> Codec:
-    """One codec for each vocabulary and worker."""
-    key = content.id if hasattr(content, "id") else hash(content.value)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(content.value)
-    return _codecs[key]
+def _tables(kind: type, content):
+    """A worker's tables of one vocabulary; another one's go."""
+    key = (kind, getattr(content, "id", None), hash(content.value))
+    if key not in _known:
+        _known.clear()
+        _known[key] = kind(content.value)
+    return _known[key]
 
 
 def read_vocabulary(spark: SparkSession, path: str):
@@ -329,7 +340,7 @@ def encode(docs: DataFrame, vocabulary, column: str = "text") -> DataFrame:
     rows, kind = _replaced(docs, [("n_tokens", LongType()), ("ids", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
+        codec = _tables(Codec, vocabulary)
         for batch in batches:
             for s in slices(batch.column(column), SLICE):
                 ids, counts = codec.encode_slice(s)
@@ -346,7 +357,7 @@ def decode(rows: DataFrame, vocabulary, column: str = "ids") -> DataFrame:
     rows, kind = _replaced(rows, [("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
+        codec = _tables(Vocabulary, vocabulary)
         for batch in batches:
             texts = [None if not x.is_valid else codec.decode_ids(np.frombuffer(x.as_buffer(), "<u4")).decode("utf-8", "replace") for x in batch.column(column)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
