@@ -1,37 +1,117 @@
-"""A stored full-text index: postings by term bucket and document lengths, written once, read by the terms of a query."""
+"""A stored full-text index with positions, written once and read by the words of a query.
+
+Below its path:
+
+* ``docs``: id, space, type, title and the tokens and lengths of each field;
+* ``postings``, a folder for each bucket of terms: term, id, field, tf, positions, the field's and the document's
+  length, and the field's place behind the title, sorted by term;
+* ``vocabulary``: for every way to look a term up (as it is written, without marks, by its English stem) the key, the
+  term, its bucket, documents' fields and occurrences, sorted by key;
+* ``stats``: one row with documents, mean lengths and buckets.
+
+Texts are tokenised once. The number of buckets and of tasks follows the tokens: a bucket holds about TOKENS_IN_BUCKET, and
+where there are more than MOST_BUCKETS times that, a bucket's rows are dealt over several tasks by id, so a frequent term is
+not one task's. A look-up reads the keys' rows of the vocabulary and the buckets that these name.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusql.functions.stemming import is_stop_word, stemmed
 from corpusql.functions.text import folded, tokens
-from corpusql.operators.lexical import K1, LEAST_IDF, B
+from corpusql.session import shared_path
+
+FIELDS = ("id", "title", "text")
+ID, TITLE, TEXT = range(3)
+TOKENS_IN_BUCKET, MOST_BUCKETS = 500_000, 4096
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index: its path, the documents' number and the mean lengths by field and over all fields."""
+
+    spark: SparkSession
+    path: str
+    n: int
+    means: tuple[float, ...]
+    mean: float
+
+    def docs(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/docs").select("id", "space", "type", "title")
+
+    def look_up(self, keys: list[str], kind: str) -> dict[str, list[tuple[str, int]]]:
+        """Terms and buckets of each key. kind: 'term', 'folded' or 'stem'. As many rows as the words of a query have forms."""
+        rows = self.spark.read.parquet(f"{self.path}/vocabulary").where((F.col("kind") == kind) & F.col("key").isin(keys)) if keys else None
+        found: dict[str, list[tuple[str, int]]] = {k: [] for k in keys}
+        for r in rows.select("key", "term", "bucket").collect() if keys else []:
+            found[r.key].append((r.term, r.bucket))
+        return found
+
+    def postings(self, found: dict[str, list[tuple[str, int]]]) -> DataFrame | None:
+        """The postings of the terms looked up, each with its key; None where there is no term."""
+        terms = {t: k for k, pairs in found.items() for t, _ in pairs}
+        if not terms:
+            return None
+        rows = self.spark.read.parquet(f"{self.path}/postings")
+        rows = rows.where(F.col("bucket").isin(sorted({b for pairs in found.values() for _, b in pairs})) & F.col("term").isin(sorted(terms)))
+        return rows.withColumn("key", F.element_at(F.create_map(*(F.lit(x) for pair in terms.items() for x in pair)), F.col("term")))
+
+
+def build(docs: DataFrame, path: str) -> Index:
+    """Writes the index of docs (id, space, type, title, text)."""
+    spark = docs.sparkSession
+    made = [tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"w{k}") for k, c in enumerate(FIELDS)]
+    # Explode keeps the tokens as columns of their own, so that their number does not split the text again.
+    split = docs.select("id", "space", "type", "title", F.explode(F.array(F.struct(*made))).alias("_t")).select("id", "space", "type", "title", "_t.*")
+    split.select("*", *(F.size(f"w{k}").alias(f"n{k}") for k in range(3))).write.parquet(f"{path}/docs")
+    stored = spark.read.parquet(f"{path}/docs")
+    every = F.col("n0") + F.col("n1") + F.col("n2")
+    total, n, mean, *means = stored.agg(F.coalesce(F.sum(every), F.lit(0)), F.count("*"), F.avg(every), *(F.avg(f"n{k}") for k in range(3))).first()
+    buckets = max(1, min(MOST_BUCKETS, total // TOKENS_IN_BUCKET))
+    deal = max(1, total // (buckets * 4 * TOKENS_IN_BUCKET))
+
+    fields = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f"n{k}").alias("length"), (F.col("n1") if k == TEXT else F.lit(0)).alias("base"), F.col(f"w{k}").alias("w")) for k in range(3)))).alias("f")
+    words = stored.select("id", every.alias("doc_length"), fields).select("id", "doc_length", "f.field", "f.length", "f.base", F.posexplode("f.w").alias("position", "term"))
+    placed = words.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "part": F.pmod(F.xxhash64("id"), F.lit(deal)).cast("int")})
+    # Dealt by bucket and part, and grouped by these and more: one shuffle, which the sort of the files shares.
+    dealt = placed.repartition(buckets * deal, "bucket", "part")
+    same = ["length", "base", "doc_length"]
+    grouped = dealt.groupBy("bucket", "part", "term", "id", "field").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"), *(F.first(c).alias(c) for c in same))
+    grouped.drop("part").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+
+    known = spark.read.parquet(f"{path}/postings").groupBy("term", "bucket").agg(F.count("*").alias("fields"), F.sum("tf").alias("occurrences"))
+    keys = F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in (("term", F.col("term")), ("folded", folded(F.col("term"))), ("stem", stemmed(F.col("term"))))))
+    listed = known.select(F.explode(keys).alias("k"), "term", "bucket", "fields", "occurrences").select("k.kind", "k.key", "term", "bucket", "fields", "occurrences")
+    listed.repartitionByRange(max(1, buckets // 8), "kind", "key").sortWithinPartitions("kind", "key").write.parquet(f"{path}/vocabulary")
+
+    mean, means = mean or 0.0, [m or 0.0 for m in means]
+    spark.createDataFrame([(n, mean, means, buckets)], "n long, mean double, means array<double>, buckets long").coalesce(1).write.parquet(f"{path}/stats")
+    return Index(spark, path, n, tuple(means), mean)
+
 
-BUCKETS = 64
+def opened(spark: SparkSession, path: str) -> Index:
+    """An index that ``build`` has written."""
+    s = spark.read.parquet(f"{path}/stats").first()
+    return Index(spark, path, s.n, tuple(s.means), s.mean)
 
 
-def _bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+_BUILT: dict[tuple, Index] = {}
 
 
-def build(docs: DataFrame, path: str) -> None:
-    """Writes postings (term, id, tf, length; a folder for each bucket of terms) and stats (documents, mean length) of docs (id, text)."""
-    words = docs.select("id", tokens(folded(F.coalesce("text", F.lit("")))).alias("w"))
-    postings = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    bucketed = postings.withColumn("bucket", _bucket(F.col("term")))
-    # A bucket's rows are dealt over several files by id, so a frequent term is not one task's.
-    dealt = bucketed.repartition(4 * BUCKETS, "bucket", F.pmod(F.xxhash64("id"), F.lit(4)))
-    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).coalesce(1).write.parquet(f"{path}/stats")
+def of_table(spark: SparkSession, name: str, source: DataFrame, docs: Callable[[], DataFrame]) -> Index:
+    """The index of ``docs``, which come from the files of ``source``: built where this session has none of these files."""
+    files = source.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h"))
+    key = (spark.sparkContext.applicationId, name, *map(str, files.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()))
+    if key not in _BUILT:
+        path = shared_path(spark, f"index-{name}")
+        _BUILT[key] = build(docs(), path)
+    return _BUILT[key]
 
 
-def bm25(spark: SparkSession, path: str, terms: list[str], k: int) -> DataFrame:
-    """id and score of the k best documents that hold any of the terms; only the terms' buckets are read."""
-    buckets = [r.b for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term")).alias("b")).distinct().collect()]
-    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    known = hits.join(F.broadcast(df), "term").join(F.broadcast(spark.read.parquet(f"{path}/stats")))  # a row a term, one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return known.groupBy("id").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+def stop_words_out(frame: DataFrame, column: str) -> DataFrame:
+    return frame.where(~is_stop_word(F.col(column)))

@@ -1,6 +1,6 @@
 """Boolean and phrase search over several text columns, with BM25 scores and snippets.
 
-A query is words, "quoted phrases", AND, OR, NOT and brackets. Words that stand side by side are joined by AND, which then
+A query is words, "quoted phrases", AND, OR, NOT (in letters of either case) and brackets. Words that stand side by side are joined by AND, which then
 binds tighter than the written operators; of these NOT binds tightest, then AND, then OR. NOT takes two sides: what
 matches the left one and not the right one. Queries are parameters, so they are read on the driver; all work on texts is
 column expressions.
@@ -26,6 +26,10 @@ _PIECES = re.compile(r'"((?:[^"]|"")*)"|([()])|([^\s()"]+)')
 OPERATORS = ("AND", "OR", "NOT")
 
 
+def _is_operator(piece: re.Match) -> bool:
+    return piece[3] is not None and piece[3].upper() in OPERATORS
+
+
 @dataclass(frozen=True)
 class Node:
     """kind: 'phrase' (words), or an operator with two sides."""
@@ -47,8 +51,8 @@ def normalized_query(query: str) -> str:
     """The query with signs spelled out and every word or phrase in quotation marks."""
     out = []
     for m in _PIECES.finditer(_signs(query)):
-        if m[2] or m[3] in OPERATORS:
-            out.append(m[0])
+        if m[2] or _is_operator(m):
+            out.append(m[0].upper())
         else:
             out.append('"' + (m[3] if m[3] else m[1].replace('""', '"')).replace('"', '""') + '"')
     return " ".join(out)
@@ -69,7 +73,7 @@ class _Reader:
         if self.at == len(self.pieces):
             return None
         m = self.pieces[self.at]
-        return m[0] if m[2] or m[3] in OPERATORS else "phrase"
+        return m[0].upper() if m[2] or _is_operator(m) else "phrase"
 
     def _take(self) -> re.Match:
         self.at += 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusql.functions.text import title_of
+from corpusql.jobs import index
 from corpusql.session import table
 
 
@@ -15,6 +16,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("space"), F.col("lang").alias("type"), title_of(F.col("text")).alias("title"), "text")
 
 
+def docs_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored full-text index of ``docs``, built once a session."""
+    return index.of_table(spark, "docs", table(spark, sf_dir, "documents"), lambda: docs(spark, sf_dir))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, space, embedding."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("space"), "embedding")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusql.functions import text as T
 from corpusql.functions import vectors as V
-from corpusql.operators import lexical, merge, retrieval
+from corpusql.operators import indexed, lexical, merge, retrieval
 from corpusql.registry import REGISTRY, query
 from corpusql.session import table
 from corpusql.sources import tables
@@ -41,27 +41,30 @@ _ANY = " OR ".join(f"tf_{i} > 0" for i in range(3))
 
 @query(_bm25_sql(_TERMS, _ANY, "SELECT id, title, score FROM hits ORDER BY score DESC, id LIMIT 10"))
 def search_bm25_top10(spark, sf_dir):
-    return lexical.top(lexical.bm25(tables.docs(spark, sf_dir), _TERMS), 10).select("id", "title", "score")
+    index = tables.docs_index(spark, sf_dir)
+    return indexed.with_headers(index, lexical.top(indexed.bm25(index, _TERMS), 10)).select("id", "title", "score")
 
 
 @query(_bm25_sql(_TERMS, _ANY, "SELECT id, space, type, score FROM hits"))
 def search_bm25_all(spark, sf_dir):
-    return lexical.bm25(tables.docs(spark, sf_dir), _TERMS).select("id", "space", "type", "score")
+    index = tables.docs_index(spark, sf_dir)
+    return indexed.with_headers(index, indexed.bm25(index, _TERMS)).select("id", "space", "type", "score")
 
 
 @query(_bm25_sql(["the", "of"], "tf_0 > 0 AND tf_1 > 0", "SELECT id, score FROM hits WHERE space = 'src3'"))
 def search_two_terms_and(spark, sf_dir):
-    return lexical.bm25(tables.docs(spark, sf_dir), ["the", "of"], require_all=True).where("space = 'src3'").select("id", "score")
+    index = tables.docs_index(spark, sf_dir)
+    return indexed.with_headers(index, indexed.bm25(index, ["the", "of"], require_all=True)).where("space = 'src3'").select("id", "score")
 
 
 @query(_bm25_sql(["und", "que"], "(tf_0 > 0 OR tf_1 > 0) AND tf_2 = 0", "SELECT id, score FROM hits", "der"))
 def search_or_not(spark, sf_dir):
-    return lexical.bm25(tables.docs(spark, sf_dir), ["und", "que"], without="der").select("id", "score")
+    return indexed.bm25(tables.docs_index(spark, sf_dir), ["und", "que"], without="der")
 
 
 @query(f"WITH {_DOCS}, {_WORDS}, p AS (SELECT id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS tf FROM words) SELECT id, tf FROM p WHERE tf > 0")
 def search_phrase(spark, sf_dir):
-    return lexical.phrase(tables.docs(spark, sf_dir), ["of", "the"])
+    return indexed.phrase(tables.docs_index(spark, sf_dir), ["of", "the"])
 
 
 @query(f"WITH {_DOCS}, {_WORDS}, x AS (SELECT id, unnest(w) AS term FROM words) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM x GROUP BY term")
@@ -222,7 +225,7 @@ def vector_normalize_dim(spark, sf_dir):
     + "SELECT id, round(0.5 * CASE WHEN a1 > a0 THEN (a - a0) / (a1 - a0) ELSE 0 END + 0.5 * CASE WHEN b1 > b0 THEN (b - b0) / (b1 - b0) ELSE 0 END, 6) AS score FROM m ORDER BY score DESC, id LIMIT 20"
 )
 def hybrid_fusion(spark, sf_dir):
-    lex = lexical.top(lexical.bm25(tables.docs(spark, sf_dir), _TERMS), 20).select(F.col("id").cast("long").alias("id"), "score")
+    lex = lexical.top(indexed.bm25(tables.docs_index(spark, sf_dir), _TERMS), 20).select(F.col("id").cast("long").alias("id"), "score")
     vec = retrieval.vector_topk(tables.chunks(spark, sf_dir), _query_vector(spark, sf_dir), 20, measure=V.l2_similarity).select("id", "score")
     return retrieval.fuse(lex, vec, 20)
 
@@ -327,4 +330,4 @@ def answer_event_stream(spark, sf_dir):
     return c.agg(F.count("*").alias("turns"), roles.alias("roles"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-from corpusql import workload_code, workload_search, workload_store  # noqa: E402, F401  (they register their queries)
+from corpusql import workload_code, workload_index, workload_search, workload_store  # noqa: E402, F401  (they register their queries)

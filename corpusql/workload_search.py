@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusql.functions import text as T
-from corpusql.jobs import index
-from corpusql.operators import boolean, pages
+from corpusql.operators import boolean, indexed, pages
 from corpusql.registry import query
-from corpusql.session import shared_path, table
+from corpusql.session import table
 from corpusql.sources import tables
 
 _DOCS = "docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS space, lang AS type, substr(split_part(text, chr(10), 1), 1, 60) AS title, coalesce(text, '') AS text FROM documents)"
@@ -48,14 +47,15 @@ def _boolean_sql(text: str) -> str:
 
 def _boolean(text: str):
     def run(spark, sf_dir):
-        return boolean.search(tables.docs(spark, sf_dir), text).select("id", "space", "score")
+        index = tables.docs_index(spark, sf_dir)
+        return indexed.with_headers(index, indexed.search(index, text)).select("id", "space", "score")
 
     return run
 
 
 _TREES = {
     "search_boolean_nested": '("of the" || thing) & ouais OR idiot NOT des',
-    "search_boolean_phrase": '"of the" AND and',
+    "search_boolean_phrase": '"of the" AND "and"',
     "search_boolean_folded": "señor OR über OR été OR que",
     "search_boolean_side_by_side": "der die OR la le NOT the",
 }
@@ -90,9 +90,8 @@ def search_snippets(spark, sf_dir):
     + ", 6) AS score FROM c, s WHERE tf_0 + tf_1 + tf_2 > 0 ORDER BY score DESC, id LIMIT 20"
 )
 def search_stored_index(spark, sf_dir):
-    path = shared_path(spark, "index")
-    index.build(tables.docs(spark, sf_dir), path)
-    return index.bm25(spark, path, _WANTED, 20)
+    hits = indexed.bm25(tables.docs_index(spark, sf_dir), _WANTED, kind="folded")
+    return hits.orderBy(F.desc("score"), "id").limit(20)
 
 
 @query(f"WITH {_DOCS}, x AS (SELECT id, unnest({_FOLD.format('text')}) AS term FROM docs) SELECT term, count(DISTINCT id) AS df FROM x GROUP BY term")
