@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.functions.text import filled_url, windows_to_end
+from corpusql.operators.ranks import least_k
 
 # Languages by extension, folders that are left out, extensions that are taken.
 LANGUAGES = {
@@ -40,7 +41,7 @@ def comment_sign(language: Column) -> Column:
     return F.when(language.isin("python", "bash", "zsh"), "#").when(language == "sql", "--").otherwise("//")
 
 
-def wanted_files(files: DataFrame, allow: str | None = None, deny: str | None = None, depth: int = 0, most: int = 3_000_000) -> DataFrame:
+def wanted_files(files: DataFrame, allow: str | None = None, deny: str | None = None, depth: int = 0, most: int = 3_145_728) -> DataFrame:
     """Files (path, length) of a tree: no denied folder, a taken extension or none, of bounded size, by path rules."""
     parts, ext = F.split("path", "/"), extension(F.col("path"))
     rule = ~F.arrays_overlap(parts, F.array(*map(F.lit, DENIED))) & (ext.isin(*TAKEN) | (ext == "")) & (F.col("length") <= most)
@@ -87,10 +88,22 @@ def chunks(files: DataFrame, repo: str = "", commit: str = "", target_tokens: in
 
 
 def stem_edges(nodes: DataFrame, code: DataFrame, most: int = 32) -> DataFrame:
-    """Edges (src, dst, why) from nodes (id, words: array) to the code nodes (id, stem) that a word names, at most ``most`` each."""
+    """Edges (src, dst, why) from nodes (id, words: array) to the code nodes (id, stem) that a word names, at most ``most`` each.
+
+    A node's least ``most`` neighbours are among the least of each of its stems (one more, as itself is left out), so
+    every stem is cut to these before words meet it: a word gives at most that many rows, however many nodes share a stem.
+    """
+    few = least_k(code.select("stem", F.col("id").alias("dst")), ["stem"], "dst", most + 1)
     words = nodes.select(F.col("id").alias("src"), F.explode(F.array_distinct("words")).alias("stem"))
-    hits = words.join(code.select(F.col("id").alias("dst"), "stem"), "stem").groupBy("src").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, most).alias("found"))
-    return hits.select("src", F.explode("found").alias("dst"), F.lit("stem-match").alias("why")).where("src <> dst")
+    hits = least_k(words.join(few, "stem").select("src", "dst"), ["src"], "dst", most)
+    return hits.where("src <> dst").select("src", "dst", F.lit("stem-match").alias("why"))
+
+
+def co_stem_edges(code: DataFrame, most: int = 32) -> DataFrame:
+    """Edges (src, dst, why) between the least ``most`` code nodes (id, stem) of each stem, both ways: at most most**2 a stem."""
+    few = least_k(code, ["stem"], "id", most)
+    a, b = few.select("stem", F.col("id").alias("src")), few.select("stem", F.col("id").alias("dst"))
+    return a.join(b, "stem").where("src <> dst").select("src", "dst", F.lit("co-stem").alias("why")).distinct()
 
 
 def outline(code: DataFrame) -> DataFrame:

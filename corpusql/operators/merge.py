@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusql.operators.ranks import ranked
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], replace: list[str], keep_known: list[str] = (), keep_first: list[str] = ()) -> DataFrame:
-    """``old`` with ``new`` merged in by key.
 
-    Of several new rows of one key the last one by its values counts. replace: the new value wins; keep_known: the new value wins unless null; keep_first: the old value wins.
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], replace: list[str], keep_known: list[str] = (), keep_first: list[str] = (), order: str | None = None) -> DataFrame:
+    """``old`` with ``new`` merged in by key, as if the new rows were written one after the other.
+
+    replace: the new value wins; keep_known: the new value wins unless null; keep_first: the old value wins. order: a column
+    of ``new`` that tells which of several rows of a key was written last; it may be kept as a column too. Without it the
+    greatest row by its values counts as the last. Of rows written one after the other, ``keep_known`` takes the last known
+    value and ``keep_first`` the first row's.
     """
-    rest = [c for c in new.columns if c not in keys]
-    one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_one"))
-    new = one.select(*keys, *(F.col(f"_one.{c}").alias(c) for c in rest))
+    columns = [c for c in [*replace, *keep_known, *keep_first] if c not in keys]
+    at = F.col(order) if order else F.struct(*columns)
+    last = lambda c: F.max(F.struct(at.alias("at"), F.col(c).alias("v")))["v"]
+    first = lambda c: F.min(F.struct(at.alias("at"), F.col(c).alias("v")))["v"]
+    known = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v"))))["v"]
+    kept = {c: last for c in replace} | {c: known if order else last for c in keep_known} | {c: first if order else last for c in keep_first}
+    new = new.groupBy(*keys).agg(*(f(c).alias(c) for c, f in kept.items()))
     o = old.withColumn("_old", F.lit(True)).alias("o")
     n = new.withColumn("_new", F.lit(True)).alias("n")
     joined = o.join(n, keys, "full")
@@ -34,25 +43,27 @@ def unchanged(now: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def oldest_part(rows: DataFrame, age: str, key: str, percent: int = 5, bins: int = 4096) -> DataFrame:
-    """The oldest ``percent`` of rows: all of the bins of ``age`` (a time) before the cut-off, and the oldest of the bin that it falls in.
+    """The oldest ``percent`` of all rows, those of one age by key; rows without an age are younger than all others.
 
-    Only the counts of the bins reach the driver, and only one bin's rows are ranked.
+    The bins of ``age`` (a time) before the cut-off are taken whole, and of the bin that it falls in the first rows by rank,
+    so only the counts of the bins reach the driver and no task holds a bin.
     """
     at = F.unix_micros(F.col(age).cast("timestamp"))
     n, low, high = rows.agg(F.count("*"), F.min(at), F.max(at)).first()
     wanted = n * percent // 100
-    if not wanted or low is None:
+    if not wanted:
         return rows.limit(0)
-    bin_ = F.floor((at - low) / ((high - low) // bins + 1)).cast("int")
+    if low is None:
+        return _first_ranks(rows, [key], wanted)
+    bin_ = F.coalesce(F.floor((at - low) / ((high - low) // bins + 1)).cast("int"), F.lit(bins))  # the last one: no age
     before = 0
-    for b, size in sorted(tuple(r) for r in rows.where(at.isNotNull()).groupBy(bin_.alias("b")).count().collect()):
+    for b, size in sorted(tuple(r) for r in rows.groupBy(bin_.alias("b")).count().collect()):
         if before + size >= wanted:
             break
         before += size
-    edge = rows.where(bin_ == b).orderBy(age, key).limit(wanted - before)
+    edge = _first_ranks(rows.where(bin_ == b), [age, key], wanted - before)
     return rows.where(bin_ < b).unionByName(edge)
 
 
-def running_latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """The latest row of each key."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_r = 1").drop("_r")
+def _first_ranks(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    return ranked(rows, order, rank="_rank").where(F.col("_rank") <= n).drop("_rank")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusql.functions import vectors as V
+from corpusql.operators.ranks import least_k, running
 
 
 def vector_topk(chunks: DataFrame, query: Column | list[float], k: int, measure=V.cosine, where: Column | None = None, pool: int | None = None) -> DataFrame:
@@ -36,35 +37,28 @@ def fuse(lexical: DataFrame, vector: DataFrame, k: int, alpha: float = 0.5) -> D
     return both.select("id", F.round(alpha * F.col("lex") + (1 - alpha) * F.col("vec"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def budget_cut(rows: DataFrame, size: str, order: str, budget: int, per: list[str], bins: int = 1024) -> DataFrame:
-    """The rows of each ``per`` group, by ``order`` (a number), as long as their sizes sum to at most the budget.
+def budget_cut(rows: DataFrame, size: str, order: str, budget: int, per: list[str]) -> DataFrame:
+    """The rows of each ``per`` group, by ``order``, as long as their sizes (null: 0) sum to at most the budget; with running.
 
-    Sums over ranges of ``order`` tell where each range begins; ranges that begin beyond the budget are left out, and
-    running sums are taken within a range, so a large group is never in one task.
+    Rows whose group is null are a group, rows whose order is null come first. Running sums are taken over ranges of
+    the order, so a group of any size and spread is never in one task.
     """
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return rows.limit(0).withColumn("running", F.lit(0).cast("long"))
-    dealt = rows.withColumn("_range", F.floor((F.col(order) - low) / ((high - low) // bins + 1)).cast("int"))
-    sums = dealt.groupBy(*per, "_range").agg(F.sum(size).alias("_sum"))
-    ahead = F.sum("_sum").over(Window.partitionBy(*per).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # at most ``bins`` rows a group
-    begins = sums.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).where(F.col("_ahead") <= budget).drop("_sum")
-    within = F.sum(size).over(Window.partitionBy(*per, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    run = dealt.join(begins, [*per, "_range"]).withColumn("running", F.col("_ahead") + within)
-    return run.where(F.col("running") <= budget).drop("_range", "_ahead")
+    return running(rows, size, [order], per).where(F.col("running") <= budget)
 
 
 def block_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = 20_000, query_block: int = 2_000) -> DataFrame:
     """For each query (query_id, q) the k nearest of all chunks (id, embedding) by cosine: query_id, id, score, rank.
 
     Both sides are dealt into blocks of bounded size; each pair of blocks is one matrix product that returns k rows a
-    query, and these are ranked by query.
+    query, and these are ranked by query. A null vector is near nothing and has nothing near it; vectors of different width
+    are not compared.
     """
+    chunks, queries = chunks.where("embedding is not null"), queries.where("q is not null")
     blocks = max(1, -(-chunks.count() // block))
     query_blocks = max(1, -(-queries.count() // query_block))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = chunks.select("id", V.doubles(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), each(query_blocks).alias("qb"))
-    q = queries.select("query_id", V.doubles(F.col("q")).alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"), each(blocks).alias("b"))
+    c = chunks.select("id", V.doubles(F.col("embedding")).alias("v"), F.size("embedding").alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), each(query_blocks).alias("qb"))
+    q = queries.select("query_id", V.doubles(F.col("q")).alias("v"), F.size("q").alias("w"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"), each(blocks).alias("b"))
 
     def unit(vectors) -> np.ndarray:
         m = np.array(vectors.tolist(), np.float64)
@@ -79,7 +73,7 @@ def block_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = 20_00
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"query_id": np.repeat(right["query_id"].to_numpy(), best.shape[1]), "id": left["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
 
-    found = c.groupBy("b", "qb").cogroup(q.groupBy("b", "qb")).applyInPandas(near, "query_id bigint, id bigint, score double")
+    found = c.groupBy("b", "qb", "w").cogroup(q.groupBy("b", "qb", "w")).applyInPandas(near, "query_id bigint, id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
@@ -90,5 +84,4 @@ def neighbors(edges: DataFrame, node: int | str, limit: int) -> DataFrame:
 
 def fan_out_cap(edges: DataFrame, most: int = 32) -> DataFrame:
     """The first ``most`` distinct neighbours of each node."""
-    distinct = edges.select("src", "dst").distinct()
-    return distinct.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("r") <= most).drop("r")
+    return least_k(edges.select("src", "dst"), ["src"], "dst", most)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.functions.text import html_to_decoded_text, row_text, utf8_or_latin
+from corpusql.functions.text import html_to_decoded_text, utf8_or_latin
 from corpusql.operators.code import wanted_files
 
 _RECORD = "id string, title string, containerTitle string, body struct<storage struct<value string>>"
@@ -128,31 +130,38 @@ def item_of_file(name: Column) -> Column:
 
 
 def csv_rows(spark: SparkSession, path: str, table: str, separator: str = ",", most_columns: int = 80, most_chars: int = 4000) -> DataFrame:
-    """A CSV file's rows as documents: id, title, text 'name=value; ...', row_key; all values are strings.
+    """The rows of CSV files of one table as documents: id, title, text 'name=value; ...', row_key; all values are strings.
 
-    A row without a key column is numbered within its file, by partition offsets, so no task sees all rows.
+    Rows without a key are numbered within their file. See ``csvtree`` for trees of files and for separators told by the files.
     """
-    raw = spark.read.option("header", True).option("sep", separator).csv(path)
-    names = {c: c.strip() for c in raw.columns}
-    rows = raw.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in names.items()))
-    columns = rows.columns
-    keys = [c for c in ("id", "ID", "Id", "pk", "PK", "key", "KEY", "Key") if c in columns]
-    numbered = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - (F.spark_partition_id().cast("long") * (1 << 33)))
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
-    numbered = numbered.join(F.broadcast(before.select("_part", "_before")), "_part")
-    key = F.coalesce(*(F.nullif(F.trim(k), F.lit("")) for k in keys), F.concat(F.lit("row"), (F.col("_before") + F.col("_at") + 1).cast("string")))
-    text = row_text(columns[:most_columns], most_chars)
-    return numbered.select(F.concat(F.lit(f"DB:{table}:"), key).alias("id"), F.concat(F.lit(f"{table}:"), key).alias("title"), text.alias("text"), key.alias("row_key"))
-
+    from corpusql.sources import csvtree
 
-def code_files(spark: SparkSession, root: str, **rules) -> DataFrame:
-    """path (below ``root``), length and text of the wanted source files; contents are read after the rules on paths."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace("\\", "\\\\") + "/", "")
-    return wanted_files(listed.select(below.alias("path"), "length", "content"), **rules).select("path", "length", utf8_or_latin(F.col("content")).alias("text"))
+    rows = csvtree.rows(spark, csvtree.paths_of(spark, path), delimiter=separator).withColumn("table", F.lit(table))
+    text, key = csvtree.row_text_of(most_columns, most_chars), csvtree.row_key_of()
+    return rows.select(F.concat(F.lit(f"DB:{table}:"), key).alias("id"), F.concat(F.lit(f"{table}:"), key).alias("title"), text.alias("text"), key.alias("row_key"))
 
 
-def tree_listing(spark: SparkSession, root: str) -> DataFrame:
+def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """path, length and modificationTime of every file below ``root``; no contents are read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return (files.option("pathGlobFilter", glob) if glob else files).load(root).select("path", "length", "modificationTime")
+
+
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, length and content of these files. The driver holds their names, as it does for any scan of files."""
+    if not paths:
+        return spark.createDataFrame([], "path string, length long, content binary")
+    return spark.read.format("binaryFile").load([p.replace("\\", "\\\\") if "\\" in p else p for p in paths]).select("path", "length", "content")
+
+
+def _below(root: str) -> Column:
+    """The part of a file's path behind ``root``, whatever scheme the path has been given."""
+    bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root).rstrip("/") + "/"
+    return F.substring_index(F.col("path"), bare, -1)
+
+
+def code_files(spark: SparkSession, root: str, **rules) -> DataFrame:
+    """path (below ``root``), length and text of the wanted source files: all are listed, the wanted ones alone are read."""
+    listed = listing(spark, root).select(F.col("path").alias("at"), "length").withColumn("path", F.col("at")).withColumn("path", _below(root))
+    wanted = [r["at"] for r in wanted_files(listed, **rules).select("at").collect()]
+    return contents(spark, wanted).select(_below(root).alias("path"), "length", utf8_or_latin(F.col("content")).alias("text"))

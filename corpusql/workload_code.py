@@ -90,9 +90,13 @@ def xref_stem_match(spark, sf_dir):
 
 @query("WITH e AS (SELECT l_suppkey AS src, l_partkey AS dst, 'line' AS why FROM lineitem UNION SELECT s_suppkey, p_partkey, 'size' FROM supplier JOIN part ON p_size = s_nationkey) SELECT why, count(*) AS n, count(DISTINCT src) AS sources FROM e GROUP BY 1")
 def edge_union(spark, sf_dir):
-    a = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("line").alias("why"))
-    b = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "part"), F.col("p_size") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("src"), F.col("p_partkey").alias("dst"), F.lit("size").alias("why"))
-    return a.unionByName(b).distinct().groupBy("why").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"))
+    """Both kinds of edges counted; those by size from the numbers on either side of each key, so no pair is formed."""
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    line = a.agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources")).select(F.lit("line").alias("why"), "n", "sources")
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.countDistinct("s_suppkey").alias("s"))
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("k")).agg(F.countDistinct("p_partkey").alias("p"))
+    size = s.join(p, "k").agg(F.sum(F.col("s") * F.col("p")).alias("n"), F.sum("s").alias("sources")).where("n is not null")
+    return line.unionByName(size.select(F.lit("size").alias("why"), "n", "sources")).where("n > 0")
 
 
 @query("SELECT regexp_extract(lower(url), '(\\.[^./]+)$', 1) AS ext, count(*) AS files, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM pages GROUP BY 1")

@@ -146,6 +146,19 @@ for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;",
 
 @query(f"SELECT page_id, trim(regexp_replace({_DECODED}, '[ \\x{{a0}}]+', ' ', 'g')) AS body FROM pages")
 def html_to_decoded_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_to_decoded_text(F.col("html"), few=True).alias("body"))
+
+
+# Each entity once: the ampersand's own is put away while the others are decoded.
+_EVERY = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+_EVERY = f"replace({_STRIPPED.replace('(html,', f'({_EVERY},', 1)}, '&amp;', chr(1))"
+for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©")):
+    _EVERY = f"replace({_EVERY}, '{_entity}', '{_sign}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace(replace({_EVERY}, chr(1), '&'), '[ \\x{{a0}}]+', ' ', 'g')) AS body FROM pages")
+def html_visible_text(spark, sf_dir):
+    """Text of pages without comments, scripts and styles, every entity decoded."""
     return table(spark, sf_dir, "pages").select("page_id", T.html_to_decoded_text(F.col("html")).alias("body"))
 
 
