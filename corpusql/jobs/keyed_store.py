@@ -39,12 +39,18 @@ def delete(ids: DataFrame, path: str, keys: list[str], batch: int) -> None:
     write(ids.select(*keys).distinct().withColumn(GONE, F.lit(True)), path, keys, batch)
 
 
-def read(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
-    """The table's rows, None where nothing has been written."""
+def _last(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    if order is None:
+        return latest(rows, keys, "batch")
+    return latest(rows.withColumn("_at", F.struct(order, "batch")), keys, "_at").drop("_at")
+
+
+def read(spark: SparkSession, path: str, keys: list[str], order: str | None = None) -> DataFrame | None:
+    """The table's rows, None where nothing has been written. order: a column that tells the last row of a key, where batches may come out of order."""
     rows = _layers(spark, path)
     if rows is None:
         return None
-    now = latest(rows, keys, "batch")
+    now = _last(rows, keys, order)
     return now.where(~F.coalesce(F.col(GONE), F.lit(False))).drop("batch", GONE)
 
 
@@ -57,13 +63,13 @@ def _layers(spark: SparkSession, path: str) -> DataFrame | None:
     return base if deltas is None else base.unionByName(deltas.where(F.col("batch") > F.lit(until)), allowMissingColumns=True)
 
 
-def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
+def compact(spark: SparkSession, path: str, keys: list[str], order: str | None = None) -> None:
     """Folds what is there into a base; the deltas stay until they are removed, and count no more."""
     rows = _layers(spark, path)
     if rows is None:
         return
     last = rows.agg(F.max("batch")).first()[0]
-    kept = latest(rows, keys, "batch").where(~F.coalesce(F.col(GONE), F.lit(False))).drop("batch")
+    kept = _last(rows, keys, order).where(~F.coalesce(F.col(GONE), F.lit(False))).drop("batch")
     kept.write.mode("overwrite").parquet(f"{path}/unfinished-{last}")
     # Under its name the base appears at once: a rename of a complete folder.
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs

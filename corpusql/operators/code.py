@@ -54,6 +54,14 @@ def wanted_files(files: DataFrame, allow: str | None = None, deny: str | None =
     return files.where(rule)
 
 
+def search_filter(languages: list[str] | None = None, part: str | None = None) -> Column:
+    """Rows (path, lang) of the languages, in letters of either case, whose path holds ``part`` as it is written."""
+    rule = F.lit(True)
+    if languages:
+        rule &= F.lower("lang").isin([x.strip().lower() for x in languages if x.strip()])
+    return rule & F.contains("path", F.lit(part)) if part else rule
+
+
 def blocks(files: DataFrame, symbol: str = SYMBOL, width: int = 180, overlap: int = 40) -> DataFrame:
     """The columns of ``files`` and lines, label, a, b: from each symbol's line to the next one's, else windows of lines.
 

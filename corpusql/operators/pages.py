@@ -49,6 +49,31 @@ def cursor_page(rows: DataFrame, order: list[Column], cursor: int, limit: int) -
     return rows.orderBy(*order).offset(cursor).limit(limit), cursor + limit if more else None
 
 
+def page_after(rows: DataFrame, order: list[str], limit: int, after: tuple | None = None) -> tuple[DataFrame, tuple | None]:
+    """The first ``limit`` rows by ``order`` (columns, ascending, nulls first) behind the key ``after``, and the key to go on from.
+
+    The key is a filter, so a page deep in the list costs what the first one does: one scan that keeps ``limit`` rows a task.
+    ``order`` must tell rows apart. The next key is None at the end.
+    """
+    checked_range("limit", limit, 1, 10_000)
+    if after is not None:
+        rows = rows.where(_behind(order, after))
+    seen = rows.orderBy(*(F.asc_nulls_first(c) for c in order)).limit(limit + 1)
+    keys = [tuple(r) for r in seen.select(*order).collect()]  # a page
+    page = seen.limit(limit)
+    return page, keys[limit - 1] if len(keys) > limit else None
+
+
+def _behind(order: list[str], key: tuple) -> Column:
+    """Whether a row lies behind the key: greater in the first column that differs."""
+    out, same = F.lit(False), F.lit(True)
+    for c, value in zip(order, key, strict=True):
+        greater = F.col(c).isNotNull() if value is None else F.coalesce(F.col(c) > F.lit(value), F.lit(False))
+        out = out | (same & greater)
+        same = same & F.col(c).eqNullSafe(F.lit(value))
+    return out
+
+
 def answer_events(citations: DataFrame, answer: str, abstention: str = "INSUFFICIENT CONTEXT") -> DataFrame:
     """seq and event (JSON) of one answer: the preamble, each citation (rank, id, title, url, score), the final text."""
     found = citations.select((F.col("rank").cast("long")).alias("seq"), F.to_json(F.struct(F.lit("citation").alias("type"), "id", "title", "url", "score")).alias("event"))

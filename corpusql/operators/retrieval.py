@@ -60,6 +60,12 @@ def block_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = 20_00
     c = chunks.select("id", V.doubles(F.col("embedding")).alias("v"), F.size("embedding").alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), each(query_blocks).alias("qb"))
     q = queries.select("query_id", V.doubles(F.col("q")).alias("v"), F.size("q").alias("w"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"), each(blocks).alias("b"))
 
+    return near_blocks(c, q, ["b", "qb", "w"], k)
+
+
+def near_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k nearest rows (id, v) by cosine of each query (query_id, v), of those that share its ``keys``: query_id, id, score, rank."""
+
     def unit(vectors) -> np.ndarray:
         m = np.array(vectors.tolist(), np.float64)
         n = np.linalg.norm(m, axis=1, keepdims=True)
@@ -73,7 +79,7 @@ def block_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = 20_00
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"query_id": np.repeat(right["query_id"].to_numpy(), best.shape[1]), "id": left["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
 
-    found = c.groupBy("b", "qb", "w").cogroup(q.groupBy("b", "qb", "w")).applyInPandas(near, "query_id bigint, id bigint, score double")
+    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(near, "query_id bigint, id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 

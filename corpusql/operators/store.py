@@ -111,6 +111,76 @@ def probe(index: DataFrame, centres: np.ndarray, q: list[float], k: int, probes:
     return hits.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def write_lists(chunks: DataFrame, path: str, lists: int = 100, seed: int = 1, sample: int = 100_000, rows_in_file: int = 500_000, k: int = 10, recall: float = 0.95, asked: int = 200) -> int:
+    """Stores chunks (id, space, embedding) by the list of their nearest centre, a folder each, and the centres beside them.
+
+    The centres are fitted on a bounded sample; every row is stored. A list of many rows is dealt over several tasks and
+    files by id, so no list is one task's. Null vectors have no list. How many lists a query must read is measured: about
+    ``asked`` rows are taken as queries, their ``k`` nearest of all rows found exactly, and the least number of probes that
+    reaches ``recall`` of these is stored and returned.
+    """
+    found, centres = inverted_file(chunks.where("embedding is not null"), lists, seed, sample)
+    sizes = found.groupBy("list_id").count()
+    files = sizes.select("list_id", F.ceil(F.col("count") / rows_in_file).cast("int").alias("_files"))
+    dealt = found.join(F.broadcast(files), "list_id").withColumn("_file", F.pmod(F.xxhash64("id"), F.col("_files")))  # a row a list
+    dealt.repartition("list_id", "_file").drop("_files", "_file").write.partitionBy("list_id").parquet(f"{path}/lists")
+    spark = chunks.sparkSession
+    probes = _probes_needed(chunks, spark.read.parquet(f"{path}/lists"), centres, k, recall, asked)
+    spark.createDataFrame([(n, [float(x) for x in c], probes) for n, c in enumerate(centres)], "list_id int, centre array<double>, probes int").coalesce(1).write.parquet(f"{path}/centres")
+    return probes
+
+
+def _probes_needed(chunks: DataFrame, index: DataFrame, centres: np.ndarray, k: int, recall: float, asked: int) -> int:
+    """Of a bounded number of queries: at which place in the order of lists each of the k nearest lies, and the place that covers ``recall`` of them."""
+    from corpusql.operators.retrieval import block_topk
+
+    n = chunks.count()
+    queries = chunks.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // asked))) == 0).limit(2 * asked).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    near = block_topk(chunks, queries, k).join(index.select("id", "list_id"), "id").join(queries, "query_id").select("query_id", "q", "list_id").collect()  # at most 2 * asked * k
+    if not near:
+        return 1
+    order = np.argsort(_far(np.array([r.q for r in near], np.float64), centres), axis=1, kind="stable")
+    places = np.sort((order == np.array([r.list_id for r in near])[:, None]).argmax(axis=1))
+    return int(places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) + 1
+
+
+def _far(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (q * q).sum(axis=1)[:, None] - 2 * q @ centres.T + (centres * centres).sum(axis=1)[None, :]
+
+
+def stored_lists(spark, path: str) -> tuple[DataFrame, np.ndarray, int]:
+    """The stored rows with list_id, the centres (at most as many as there are lists) and the probes a query needs."""
+    centres = spark.read.parquet(f"{path}/centres").orderBy("list_id").collect()
+    return spark.read.parquet(f"{path}/lists"), np.array([r.centre for r in centres]), centres[0].probes
+
+
+def probe_batch(spark, path: str, queries: DataFrame, k: int, probes: int | None = None, block: int = 20_000) -> DataFrame:
+    """For each query (query_id, q) the k nearest by cosine among the lists of its nearest centres: query_id, id, score, rank.
+
+    Queries meet rows list by list; a large list is dealt into blocks, each with all queries that probe it. The lists that no
+    query probes are not read.
+    """
+    from corpusql.operators.retrieval import near_blocks
+
+    index, centres, needed = stored_lists(spark, path)
+    probes = probes or needed
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        q = np.array(vectors.tolist(), np.float64)
+        return pd.Series(list(np.argsort(_far(q, centres), axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    asked = queries.where("q is not null").select("query_id", V.doubles(F.col("q")).alias("v")).select("*", F.explode(nearest("v")).alias("list_id"))
+    wanted = [r.list_id for r in asked.select("list_id").distinct().collect()]  # at most the number of lists
+    rows = index.where(F.col("list_id").isin(wanted)).select("id", V.doubles(F.col("embedding")).alias("v"), "list_id")
+    blocks = rows.groupBy("list_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    blocks = {r.list_id: r["_blocks"] for r in blocks.collect()}  # a row a list
+    many = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair)), F.col("list_id")), F.lit(1)) if blocks else F.lit(1)
+    left = rows.withColumn("b", F.pmod(F.xxhash64("id"), many).cast("int"))
+    right = asked.withColumn("b", F.explode(F.sequence(F.lit(0), many - 1)))
+    return near_blocks(left, right, ["list_id", "b"], k)
+
+
 def request_lines(texts: DataFrame, model: str) -> DataFrame:
     """One embedding request (JSON) for each text and its bytes; custom_id is the text's hash."""
     h = F.sha2(F.coalesce("text", F.lit("")), 256)

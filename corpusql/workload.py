@@ -330,4 +330,4 @@ def answer_event_stream(spark, sf_dir):
     return c.agg(F.count("*").alias("turns"), roles.alias("roles"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-from corpusql import workload_code, workload_index, workload_search, workload_store  # noqa: E402, F401  (they register their queries)
+from corpusql import workload_code, workload_index, workload_jobs, workload_search, workload_store  # noqa: E402, F401  (they register their queries)

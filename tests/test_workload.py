@@ -33,7 +33,7 @@ def test_matches_duckdb(spark, duck, name):
 
 def test_queries_without_a_twin(spark):
     """What SQL cannot express: projections, an approximate index, the offline embedder."""
-    assert workload.queries().keys() - workload.oracle_sql().keys() == {"vector_projection", "vector_index_probe", "embed_bodies"}
+    assert workload.queries().keys() - workload.oracle_sql().keys() == {"vector_projection", "vector_index_probe", "embed_bodies", "vector_list_topk", "rate_budget"}
     assert workload.queries()["vector_index_probe"](spark, SF).count() == 20
     assert {len(r.reduced) for r in workload.queries()["vector_projection"](spark, SF).collect()} == {32}
     chunks = workload.queries()["embed_bodies"](spark, SF)
