@@ -98,7 +98,7 @@ def test_a_replayed_batch_leaves_the_store_equal(spark, tmp_path):
 
 def test_closed_rates_are_appended_once(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
-    for k, seconds in enumerate(([0, 10, 70], [75, 2000], [5, 4000])):
+    for k, seconds in enumerate(([0, 10, 70], [75, 2000], [2010], [5, 4000])):
         put(tmp_path / "in" / f"{k}.json", "".join(json.dumps({"ts": str(base + dt.timedelta(seconds=s)), "event_type": "x", "value": 1.0}) + "\n" for s in seconds))
         os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # read in this order
     out = str(tmp_path / "out")
