@@ -138,14 +138,24 @@ class _Pattern:
         return end
 
 
+def _reversed(node):
+    """The tree of the same matches read from behind."""
+    if node[0] == "sequence":
+        return ("sequence", [_reversed(part) for part in reversed(node[1])])
+    if node[0] == "either":
+        return ("either", [_reversed(option) for option in node[1]])
+    return node if node[0] == "bytes" else ("repeat", _reversed(node[1]), *node[2:])
+
+
 class Automaton:
     """All rules as transition arrays.
 
     classes: byte to column; step: state times columns + column to state; accepts: state to a bit mask of rules.
     State 0 is the start. anywhere: a match may begin at every byte, else only at the first (state -1 is then dead).
+    backward: for bytes read from behind, so accepting states tell where matches begin.
     """
 
-    def __init__(self, patterns: list[str], anywhere: bool):
+    def __init__(self, patterns: list[str], anywhere: bool, backward: bool = False):
         nfa = _Nfa()
         root = nfa.state()
         final: dict[int, int] = {}
@@ -153,7 +163,8 @@ class Automaton:
             pattern = _Pattern(text, nfa)
             first = nfa.state()
             nfa.empty[root].append(first)
-            final[pattern.build(pattern.tree(), first)] = 1 << k
+            tree = pattern.tree()
+            final[pattern.build(_reversed(tree) if backward else tree, first)] = 1 << k
         self.classes, kinds = self._byte_classes(nfa)
         begin = nfa.closure([root])
         states, todo, rows = {begin: 0}, [begin], []
@@ -175,6 +186,16 @@ class Automaton:
         self.step, self.accepts = self._minimal(np.array(rows, np.int64), accepts)
         self.columns = len(kinds)
 
+    def reachable(self) -> np.ndarray:
+        """For each state the rules that can still accept, there or later."""
+        reach = self.accepts.copy()
+        while True:
+            on = np.where(self.step >= 0, reach[self.step], 0)
+            new = reach | np.bitwise_or.reduce(on, axis=1)
+            if (new == reach).all():
+                return reach
+            reach = new
+
     @staticmethod
     def _byte_classes(nfa: _Nfa) -> tuple[np.ndarray, list[int]]:
         """Bytes that no rule tells apart share a column; and one byte of each column."""

@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset: a temporary one of a local session, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="corpusql-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        found = tempfile.mkdtemp(prefix="corpusql-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found

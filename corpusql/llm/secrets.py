@@ -3,15 +3,20 @@
 The automaton's transition arrays are built on the driver and travel with the task. A slice of documents is cut after
 bytes that lead from every state back to the start (no match can hold such a byte), which gives thousands of
 independent pieces that numpy steps through together, one byte of each at a time. Only pieces that reached an accepting
-state are looked at again, with the same rules anchored, to place the leftmost longest matches.
+state are looked at again, for the rules that they reached: read from behind, a rule's automaton marks every byte where a
+match begins; from the first mark the anchored automaton runs to the longest match and stops where the rule can no longer
+accept, and the next mark behind the match is taken. So the time is linear in the text, whatever it holds.
 
-Null text: empty, no spans. Ties cannot occur within a kind; across kinds the order is by start, then rule. Extra
-columns are carried by ``redact_secrets`` and ignored by ``secret_spans``.
+A private key goes on to its last line, if only bytes of such a key lie between; lines of first ones inside it are part of it.
+
+Null text: empty, no spans. Spans of one kind never overlap; across kinds the order is by start, then rule. Repeated rows
+each have their spans, an empty table none. Extra columns are carried by ``redact_secrets`` and ignored by ``secret_spans``.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +33,8 @@ from corpusql.llm.textops import Slice, slices
 @dataclass(frozen=True)
 class Rule:
     """kind: name; pattern: see automaton; least: bytes that a match must have; value: of an assignment, of what follows
-    the sign; base: whether it is one of the three base rules; until: what a match goes on over where it follows (bytes, a regex)."""
+    the sign; base: whether it is one of the three base rules; until: where a match goes on to (bytes, a regex), over bytes
+    of the class ``over``."""
 
     kind: str
     pattern: str
@@ -36,6 +42,7 @@ class Rule:
     value: int = 0
     base: bool = False
     until: bytes = b""
+    over: bytes = b""
 
 
 def _any_case(words: str) -> str:
@@ -47,7 +54,7 @@ RULES = (
     Rule("assign", rf"({_any_case('password|passwd|secret|token|api_?key')})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+", value=6, base=True),
     Rule("access", "AKIA[A-Z0-9]+", least=20, base=True),
     Rule("hex", "[0-9a-f]{8,}", least=24, base=True),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", until=rb"[A-Za-z0-9+/=:,.\s-]*?-----END [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", until=rb"-----END [A-Z ]*PRIVATE KEY-----", over=rb"[A-Za-z0-9+/=:,.\s-]"),
     Rule("forge", "gh[pousr]_[A-Za-z0-9]+", least=34),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", least=20),
     Rule("cloud", "AIza[0-9A-Za-z_-]+", least=39),
@@ -66,7 +73,9 @@ class Scanner:
         columns = np.arange(256)
         self.reset = np.all(self.free.step[:, self.free.classes[columns]] == 0, axis=0) & (self.free.accepts[0] == 0)
         self.anchored = fixed.step[:, fixed.classes[columns]].tolist()
-        self.anchored_accepts = fixed.accepts.tolist()
+        self.anchored_accepts, self.anchored_reach = fixed.accepts.tolist(), fixed.reachable().tolist()
+        behind = [Automaton([r.pattern], anywhere=True, backward=True) for r in rules]
+        self.behind = [(x.step[:, x.classes[columns]].tolist(), x.accepts.tolist()) for x in behind]
 
     def _pieces(self, s: Slice) -> np.ndarray:
         n = len(s.data)
@@ -94,28 +103,36 @@ class Scanner:
         for k in np.flatnonzero(found):
             yield int(starts[k]), int(starts[k] + lengths[k]), int(found[k])
 
+    def begins(self, data: bytes, k: int) -> list[int]:
+        """Where matches of rule ``k`` begin, the last first."""
+        step, accepts = self.behind[k]
+        state, found = 0, []
+        for j in range(len(data) - 1, -1, -1):
+            state = step[state][data[j]]
+            if accepts[state]:
+                found.append(j)
+        return found
+
     def matches(self, data: bytes, mask: int) -> Iterator[tuple[int, int, int]]:
         """(start, rule, end) of the leftmost longest matches, rule by rule, of those that satisfy their rule's length."""
-        step, accepts, n = self.anchored, self.anchored_accepts, len(data)
+        step, accepts, reach, n = self.anchored, self.anchored_accepts, self.anchored_reach, len(data)
         for k, rule in enumerate(self.rules):
             if not mask >> k & 1:
                 continue
-            at = 0
-            while at < n:
-                state, j, end = 0, at, 0
+            end = 0
+            for at in reversed(self.begins(data, k)):
+                if at < end:
+                    continue
+                state, j = 0, at
                 while j < n:
                     state = step[state][data[j]]
-                    if state < 0:
+                    if state < 0 or not reach[state] >> k & 1:
                         break
                     j += 1
                     if accepts[state] >> k & 1:
                         end = j
-                if not end:
-                    at += 1
-                    continue
                 if end - at >= rule.least and (not rule.value or _value_length(data[at:end]) >= rule.value):
                     yield at, k, end
-                at = end
 
     def spans(self, s: Slice) -> dict[int, list[tuple[int, int, int]]]:
         """By document, sorted (start, rule, end) in bytes from the document's start."""
@@ -124,13 +141,33 @@ class Scanner:
             doc = int(np.searchsorted(s.offsets, a, "right")) - 1
             base = a - int(s.offsets[doc])
             for start, k, end in self.matches(s.data[a:b].tobytes(), mask):
-                if self.rules[k].until:
-                    more = re.compile(self.rules[k].until).match(s.data[a + end : s.offsets[doc + 1]].tobytes())
-                    end += more.end() if more else 0
                 out.setdefault(doc, []).append((base + start, k, base + end))
+        for doc, found in out.items():
+            for k, rule in enumerate(self.rules):
+                if rule.until and any(x[1] == k for x in found):
+                    data = s.data[s.offsets[doc] : s.offsets[doc + 1]].tobytes()
+                    found[:] = [x for x in found if x[1] != k] + _gone_on(data, rule, k, sorted(x for x in found if x[1] == k))
         return {d: sorted(v) for d, v in out.items()}
 
 
+def _gone_on(data: bytes, rule: Rule, k: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The matches, each up to the next place of ``until`` where only bytes of ``over`` lie between; those inside another go."""
+    lasts = [m.span() for m in re.finditer(rule.until, data)]
+    starts = [a for a, _ in lasts]
+    inside = np.zeros(256, bool)
+    inside[[b for b in range(256) if re.match(rule.over, bytes([b]))]] = True
+    other = np.flatnonzero(~inside[np.frombuffer(data, np.uint8)])
+    out: list[tuple[int, int, int]] = []
+    for start, _, end in found:
+        if out and start < out[-1][2]:
+            continue
+        i, j = bisect_left(starts, end), int(np.searchsorted(other, end))
+        if i < len(starts) and (j == len(other) or starts[i] <= other[j]):
+            end = lasts[i][1]
+        out.append((start, k, end))
+    return out
+
+
 def _value_length(match: bytes) -> int:
     """Length of what is assigned: after the first sign, blanks and at most one quote."""
     rest = match[next(i for i, c in enumerate(match) if c in _SIGN) + 1 :].lstrip(b" ")

@@ -278,3 +278,23 @@ def test_warc_query_matches_sql(spark):
     want = c.sql(workload.oracle_sql()["op9_warc_roundtrip"]).fetchall()
     got = workload.queries()["op9_warc_roundtrip"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_secrets_are_linear_and_apart(spark):
+    import time
+
+    first, last = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    scanner = secrets.Scanner()
+
+    def spans(text):
+        return next(iter(scanner.spans(next(iter(slices(pa.array([text]))))).values()), [])
+
+    pem = [r.kind for r in secrets.RULES].index("pem")
+    two = f"{first}\nabc\n{first}\ndef\n{last} x {last}"
+    assert [x for x in spans(two) if x[1] == pem] == [(0, pem, two.index(last) + len(last))]
+    assert [x for x in spans(f"{first} é {first} a {last}") if x[1] == pem] == [(0, pem, len(first)), (len(first) + 4, pem, 2 * len(first) + 7 + len(last))]
+    token = "gh" + "p_" + "a1B2" * 10
+    began = time.monotonic()
+    for text, n in (("eyJab-" * 170_000 + " " + token, 1), ("eyJab-" * 80_000 + ".x=" + "eyJabc.eyJabc." + "c" * 40, 1), (f"{first}\n" * 30_000, 30_000), ("-----END " * 50_000 + first, 1), ("AKIA" * 100_000, 1), ("password=" * 60_000, 1)):
+        assert len([x for x in spans(text) if scanner.rules[x[1]].kind != "hex"]) >= n
+    assert time.monotonic() - began < 60
