@@ -212,3 +212,13 @@ def safe_path(path: Column) -> Column:
 def parsed_vector(text: Column) -> Column:
     """A vector written as a JSON array; null where it is none."""
     return F.from_json(text, "array<float>")
+
+
+def analysed(query: Column) -> Column:
+    """struct<tokens, has_identifier, has_path, has_camel> of a query: its capital identifiers, paths and camelCase words, each sorted."""
+    kept = lambda x: F.array_sort(F.array_distinct(x))
+    words = F.regexp_extract_all(query, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))  # letters of any script bound a word
+    whole = lambda p: kept(F.filter(words, lambda w: w.rlike(p)))
+    kinds = [whole("^[A-Z0-9_]{3,}$"), kept(F.regexp_extract_all(query, F.lit(r"[A-Za-z0-9_\-.]+(?:/[A-Za-z0-9_\-.]+)+"), F.lit(0))), whole("^[a-z]+[A-Za-z0-9]*[A-Z][A-Za-z0-9]*$")]
+    has = [(F.size(k) > 0).alias(n) for k, n in zip(kinds, ("has_identifier", "has_path", "has_camel"), strict=True)]
+    return F.struct(F.concat(*kinds).alias("tokens"), *has)

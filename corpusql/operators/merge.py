@@ -67,3 +67,24 @@ def oldest_part(rows: DataFrame, age: str, key: str, percent: int = 5, bins: int
 
 def _first_ranks(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     return ranked(rows, order, rank="_rank").where(F.col("_rank") <= n).drop("_rank")
+
+
+def invariants(docs: DataFrame, texts: DataFrame, attachments: DataFrame) -> DataFrame:
+    """One row for all spaces together (space null) and one for each: docs, texts and attachments, those without a document, and ok.
+
+    docs: id, space; texts: id; attachments: content_id. What has no document has no space, so it stands in the first row alone.
+    """
+    ids = docs.select("id", "space")
+    t = texts.select("id", F.lit(1).alias("t")).join(ids, "id", "left")
+    a = attachments.select(F.col("content_id").alias("id")).join(docs.select("id", "space", F.lit(1).alias("known")), "id", "left")
+    t = t.join(docs.select("id", F.lit(1).alias("known")), "id", "left")
+    parts = [
+        ids.select("space", F.lit(1).alias("docs"), F.lit(0).alias("texts"), F.lit(0).alias("attachments"), F.lit(0).alias("orphan_texts"), F.lit(0).alias("orphan_attachments"), F.lit(True).alias("known")),
+        t.select("space", F.lit(0), F.lit(1), F.lit(0), F.when(F.col("known").isNull(), 1).otherwise(0), F.lit(0), F.col("known").isNotNull()),
+        a.select("space", F.lit(0), F.lit(0), F.lit(1), F.lit(0), F.when(F.col("known").isNull(), 1).otherwise(0), F.col("known").isNotNull()),
+    ]
+    every = parts[0].union(parts[1]).union(parts[2])
+    names = ["docs", "texts", "attachments", "orphan_texts", "orphan_attachments"]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names]
+    rows = every.agg(*sums).select(F.lit(None).cast("string").alias("space"), *names).unionByName(every.where("known").groupBy(F.coalesce("space", F.lit("")).alias("space")).agg(*sums))
+    return rows.withColumn("ok", (F.col("orphan_texts") == 0) & (F.col("orphan_attachments") == 0))

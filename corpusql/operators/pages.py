@@ -34,6 +34,11 @@ def byte_pages(items: DataFrame, per: str, order: str, size: str, budget: int =
     return items.groupBy(per).applyInPandas(fill, f"{kinds}, page bigint")
 
 
+def first_page(items: DataFrame, per: str, order: str, size: str, budget: int = 90_000) -> DataFrame:
+    """The first page of each list; nothing tells of further ones."""
+    return byte_pages(items, per, order, size, budget).where("page = 0").drop("page")
+
+
 def page_totals(paged: DataFrame, per: str, size: str) -> DataFrame:
     """Items and bytes of each page, and the number of the next page, null on the last."""
     totals = paged.groupBy(per, "page").agg(F.count("*").alias("items"), F.sum(size).alias("approx_bytes"))

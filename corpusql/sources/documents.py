@@ -109,3 +109,15 @@ def office_members(files: DataFrame) -> DataFrame:
 def audit(listing: DataFrame) -> DataFrame:
     """Files and bytes by extension of a listing (path, length)."""
     return listing.groupBy(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("ext")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def largest(listing: DataFrame, most: int = 50) -> DataFrame:
+    """The largest files of a listing (path, length)."""
+    return listing.select("path", "length").orderBy(F.desc("length"), "path").limit(most)
+
+
+def unwanted(listing: DataFrame) -> DataFrame:
+    """path and why of files that a code corpus should not hold: resource forks, and what lies in folders of tools or of builds."""
+    folder = lambda names: F.arrays_overlap(F.transform(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), F.lower), F.array(*map(F.lit, names)))
+    why = F.when(F.element_at(F.split("path", "/"), -1).startswith("._"), "fork").when(folder([".git", ".hg", ".svn", ".idea", ".vscode"]), "tool").when(folder(["build", "bin", "obj", "out", "target", "dist", ".vs"]), "build")
+    return listing.select("path", why.alias("why")).where("why is not null")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,7 +155,7 @@ def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load([p.replace("\\", "\\\\") if "\\" in p else p for p in paths]).select("path", "length", "content")
 
 
-def _below(root: str) -> Column:
+def below(root: str) -> Column:
     """The part of a file's path behind ``root``, whatever scheme the path has been given."""
     bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root).rstrip("/") + "/"
     return F.substring_index(F.col("path"), bare, -1)
@@ -162,6 +163,23 @@ def _below(root: str) -> Column:
 
 def code_files(spark: SparkSession, root: str, **rules) -> DataFrame:
     """path (below ``root``), length and text of the wanted source files: all are listed, the wanted ones alone are read."""
-    listed = listing(spark, root).select(F.col("path").alias("at"), "length").withColumn("path", F.col("at")).withColumn("path", _below(root))
+    listed = listing(spark, root).select(F.col("path").alias("at"), "length").withColumn("path", F.col("at")).withColumn("path", below(root))
     wanted = [r["at"] for r in wanted_files(listed, **rules).select("at").collect()]
-    return contents(spark, wanted).select(_below(root).alias("path"), "length", utf8_or_latin(F.col("content")).alias("text"))
+    return contents(spark, wanted).select(below(root).alias("path"), "length", utf8_or_latin(F.col("content")).alias("text"))
+
+
+def git_revision(root: str) -> tuple[str, str | None]:
+    """The name of a checked-out tree and the commit that its HEAD stands at (None where that can't be told); read on the driver."""
+    at = Path(root)
+    try:
+        head = (at / ".git" / "HEAD").read_text(encoding="utf-8").strip()
+        if not head.startswith("ref:"):
+            return at.name, head or None
+        ref = head.partition(" ")[2].strip()
+        own = at / ".git" / ref
+        if own.exists():
+            return at.name, own.read_text(encoding="utf-8").strip()
+        packed = (at / ".git" / "packed-refs").read_text(encoding="utf-8").splitlines()
+        return at.name, next((line.split(" ")[0] for line in packed if line.endswith(" " + ref)), None)
+    except OSError:
+        return at.name, None

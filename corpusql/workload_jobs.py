@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from corpusql.functions import text as T
 from corpusql.functions import vectors as V
 from corpusql.jobs import keyed_store
-from corpusql.operators import code, pages, retrieval, store
+from corpusql.operators import code, merge, pages, retrieval, store
 from corpusql.registry import query
 from corpusql.session import shared_path, table
-from corpusql.sources import aligned, csvtree, tables
+from corpusql.sources import aligned, csvtree, documents, tables
 from corpusql.streaming import budget, watch
 from corpusql.workload_code import _LANG, _PATH, _files
 
@@ -149,3 +149,49 @@ def code_search_stream(spark, sf_dir):
     meta = _files(spark, sf_dir).select(F.col("doc_id").alias("id"), "path", code.language_of(F.col("path")).alias("lang"))
     lines = meta.where(code.search_filter(["TEXT"], "/en/")).select(F.to_json(F.struct("id", "path", "lang")).alias("line"))
     return lines.select(F.from_json("line", "id long, path string, lang string").alias("r")).select("r.*")
+
+
+@query(
+    "WITH d AS (SELECT doc_id AS id, source AS space FROM documents), t AS (SELECT doc_id AS id FROM labels), a AS (SELECT l_orderkey AS id FROM lineitem), "
+    "e AS (SELECT space, 1 AS docs, 0 AS texts, 0 AS attachments, 0 AS orphan_texts, 0 AS orphan_attachments, true AS known FROM d "
+    "UNION ALL SELECT space, 0, 1, 0, CASE WHEN d.id IS NULL THEN 1 ELSE 0 END, 0, d.id IS NOT NULL FROM t LEFT JOIN d USING (id) "
+    "UNION ALL SELECT space, 0, 0, 1, 0, CASE WHEN d.id IS NULL THEN 1 ELSE 0 END, d.id IS NOT NULL FROM a LEFT JOIN d USING (id)) "
+    "SELECT *, orphan_texts = 0 AND orphan_attachments = 0 AS ok FROM (SELECT CASE WHEN grouping(space) = 1 THEN NULL ELSE space END AS space, CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(texts) AS BIGINT) AS texts, CAST(sum(attachments) AS BIGINT) AS attachments, CAST(sum(orphan_texts) AS BIGINT) AS orphan_texts, CAST(sum(orphan_attachments) AS BIGINT) AS orphan_attachments, bool_and(known) AS known, grouping(space) AS g FROM e GROUP BY ROLLUP (space)) WHERE known OR g = 1"
+)
+def invariant_report(spark, sf_dir):
+    """Documents, labels as their texts and lines of orders as their attachments, with what has no document, in all and by space."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("space"))
+    rows = merge.invariants(d, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), tables.attachments(spark, sf_dir))
+    return rows.withColumns({"known": F.when(F.col("space").isNull(), F.col("ok")).otherwise(True), "g": F.when(F.col("space").isNull(), 1).otherwise(0).cast("long")})
+
+
+@query("SELECT l_orderkey AS item, count(*) AS n, list_sort(list(l_linenumber || ':' || l_partkey)) AS files FROM lineitem GROUP BY 1")
+def attachments_by_item(spark, sf_dir):
+    """Lines of orders as an index file's entries, grouped by their item."""
+    li = table(spark, sf_dir, "lineitem")
+    entry = F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
+    return li.groupBy(F.col("l_orderkey").alias("item")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(entry)).alias("files"))
+
+
+_WHOLE = "list_sort(list_distinct(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '{}'))))"
+_KINDS = [_WHOLE.format("[A-Z0-9_]{3,}"), "list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_\\-.]+(?:/[A-Za-z0-9_\\-.]+)+')))", _WHOLE.format("[a-z]+[A-Za-z0-9]*[A-Z][A-Za-z0-9]*")]
+
+
+@query(f"SELECT doc_id, list_concat(list_concat(i, p), c) AS tokens, len(i) > 0 AS has_identifier, len(p) > 0 AS has_path, len(c) > 0 AS has_camel FROM (SELECT doc_id, {_KINDS[0]} AS i, {_KINDS[1]} AS p, {_KINDS[2]} AS c FROM documents WHERE text IS NOT NULL)")
+def query_analyser(spark, sf_dir):
+    """Texts as queries: identifiers, paths and camelCase words."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", T.analysed(F.col("text")).alias("a")).select("doc_id", "a.*")
+
+
+@query("SELECT url AS path, octet_length(encode(html)) AS length FROM pages ORDER BY length DESC, url LIMIT 50")
+def largest_files(spark, sf_dir):
+    return documents.largest(table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("length")))
+
+
+@query("SELECT conv_id, i FROM (SELECT conv_id, row_number() OVER w AS i, sum(octet_length(encode(coalesce(text, ''))) + 40) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS run FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE run <= 2000 OR i = 1")
+def first_pages(spark, sf_dir):
+    """What a fetch of one page returns of each conversation: the first page, whatever follows."""
+    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    t = table(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(by).cast("long").alias("i"), (F.octet_length(F.coalesce("text", F.lit(""))) + 40).cast("long").alias("bytes"))
+    return pages.first_page(t, "conv_id", "i", "bytes", 2000).select("conv_id", "i")

@@ -252,3 +252,56 @@ def test_walking_pages_gives_every_row_once(spark):
     assert page.count() == 60 and key is None
     plan = pages.page_after(rows, ["t", "id"], 7, ("t3", 30))[0]._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Filter" in plan and "offset" not in plan.lower()
+
+
+def test_attachment_ingest(spark, tmp_path):
+    import zipfile
+
+    from corpusql.jobs import attachment_ingest
+
+    root, path = tmp_path / "att", str(tmp_path / "store")
+    put(root / "S" / "a.txt", "plain words " * 400)
+    put(root / "S" / "short.txt", "too short")
+    put(root / "S" / "b.exe", "never read " * 50)
+    put(root / "T" / "odd.bin", "x" * 100 + "\0" + "y" * 100)
+    put(root / "T" / "odd.dat", "readable " * 20)
+    with zipfile.ZipFile(root / "T" / "d.docx", "w") as z:
+        w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>' + f"<w:p><w:r><w:t>{'office words ' * 20}</w:t></w:r></w:p>" + "</w:body></w:document>")
+    put(root / "T" / "broken.docx", "no archive at all " * 10)
+    rows = [(str(k), n.split("/")[0], n) for k, n in enumerate(["S/a.txt", "S/short.txt", "S/b.exe", "T/odd.bin", "T/odd.dat", "T/d.docx", "T/broken.docx", "T/gone.txt"])]
+    attachments = spark.createDataFrame(rows, "content_id string, space string, relpath string")
+    first = attachment_ingest.ingest(spark, str(root), attachments, path, 8, 1)
+    assert first == {"attachments": 8, "found": 7, "extracted": 7, "chunked": 3, "chunks": 4}
+    kept = keyed_store.read(spark, f"{path}/chunks", ["id", "chunk_ix"])
+    assert {(r.id, r.chunk_ix) for r in kept.collect()} == {("ATT:0:S/a.txt", 0), ("ATT:0:S/a.txt", 1), ("ATT:4:T/odd.dat", 0), ("ATT:5:T/d.docx", 0)}
+    assert {r.url for r in kept.collect()} >= {"/attachments/S/a.txt", "/attachments/T/d.docx"}
+    assert attachment_ingest.ingest(spark, str(root), attachments, path, 8, 2)["extracted"] == 0
+    put(root / "T" / "odd.dat", "other words " * 20)
+    assert attachment_ingest.ingest(spark, str(root), attachments, path, 8, 3, spaces=["T"])["extracted"] == 1
+    assert keyed_store.read(spark, f"{path}/chunks", ["id", "chunk_ix"]).where("id = 'ATT:4:T/odd.dat' and snippet like 'other%'").count() == 1
+
+
+def test_invariants(spark):
+    from corpusql.operators import merge
+
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id long, space string")
+    got = {r.space: tuple(r)[1:] for r in merge.invariants(docs, docs.where("id < 3"), spark.createDataFrame([(1,), (1,), (9,)], "content_id long")).collect()}
+    assert got == {None: (3, 2, 3, 0, 1, False), "a": (2, 2, 2, 0, 0, True), "": (1, 0, 0, 0, 0, True)}
+
+
+def test_git_revision(tmp_path):
+    assert files.git_revision(str(tmp_path / "none")) == ("none", None)
+    put(tmp_path / "r" / ".git" / "HEAD", "ref: refs/heads/main\n")
+    put(tmp_path / "r" / ".git" / "packed-refs", "# pack\nabc123 refs/heads/main\n")
+    assert files.git_revision(str(tmp_path / "r")) == ("r", "abc123")
+    put(tmp_path / "r" / ".git" / "refs" / "heads" / "main", "def456\n")
+    assert files.git_revision(str(tmp_path / "r")) == ("r", "def456")
+
+
+def test_unwanted_files(spark):
+    from corpusql.sources import documents
+
+    names = ["a/._x", "a/.git/config", "a/Build/x.o", "a/b.py", "build"]
+    got = {r.path: r.why for r in documents.unwanted(spark.createDataFrame([(n, 1) for n in names], "path string, length long")).collect()}
+    assert got == {"a/._x": "fork", "a/.git/config": "tool", "a/Build/x.o": "build"}
