@@ -29,6 +29,9 @@ from corpusql.session import shared_path
 FIELDS = ("id", "title", "text")
 ID, TITLE, TEXT = range(3)
 TOKENS_IN_BUCKET, MOST_BUCKETS = 500_000, 4096
+#: Told when reading, as an empty table has no files to tell them.
+POSTINGS = "term string, id string, field int, tf int, positions array<int>, length int, base int, doc_length int, bucket int"
+VOCABULARY = "kind string, key string, term string, bucket int, fields long, occurrences long"
 
 
 @dataclass(frozen=True)
@@ -44,9 +47,15 @@ class Index:
     def docs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/docs").select("id", "space", "type", "title")
 
+    def all_postings(self) -> DataFrame:
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
+
+    def vocabulary(self) -> DataFrame:
+        return self.spark.read.schema(VOCABULARY).parquet(f"{self.path}/vocabulary")
+
     def look_up(self, keys: list[str], kind: str) -> dict[str, list[tuple[str, int]]]:
         """Terms and buckets of each key. kind: 'term', 'folded' or 'stem'. As many rows as the words of a query have forms."""
-        rows = self.spark.read.parquet(f"{self.path}/vocabulary").where((F.col("kind") == kind) & F.col("key").isin(keys)) if keys else None
+        rows = self.vocabulary().where((F.col("kind") == kind) & F.col("key").isin(keys)) if keys else None
         found: dict[str, list[tuple[str, int]]] = {k: [] for k in keys}
         for r in rows.select("key", "term", "bucket").collect() if keys else []:
             found[r.key].append((r.term, r.bucket))
@@ -57,8 +66,7 @@ class Index:
         terms = {t: k for k, pairs in found.items() for t, _ in pairs}
         if not terms:
             return None
-        rows = self.spark.read.parquet(f"{self.path}/postings")
-        rows = rows.where(F.col("bucket").isin(sorted({b for pairs in found.values() for _, b in pairs})) & F.col("term").isin(sorted(terms)))
+        rows = self.all_postings().where(F.col("bucket").isin(sorted({b for pairs in found.values() for _, b in pairs})) & F.col("term").isin(sorted(terms)))
         return rows.withColumn("key", F.element_at(F.create_map(*(F.lit(x) for pair in terms.items() for x in pair)), F.col("term")))
 
 
@@ -67,7 +75,7 @@ def build(docs: DataFrame, path: str) -> Index:
     spark = docs.sparkSession
     made = [tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"w{k}") for k, c in enumerate(FIELDS)]
     # Explode keeps the tokens as columns of their own, so that their number does not split the text again.
-    split = docs.select("id", "space", "type", "title", F.explode(F.array(F.struct(*made))).alias("_t")).select("id", "space", "type", "title", "_t.*")
+    split = docs.select(F.col("id").cast("string").alias("id"), "space", "type", "title", F.explode(F.array(F.struct(*made))).alias("_t")).select("id", "space", "type", "title", "_t.*")
     split.select("*", *(F.size(f"w{k}").alias(f"n{k}") for k in range(3))).write.parquet(f"{path}/docs")
     stored = spark.read.parquet(f"{path}/docs")
     every = F.col("n0") + F.col("n1") + F.col("n2")
@@ -84,7 +92,7 @@ def build(docs: DataFrame, path: str) -> Index:
     grouped = dealt.groupBy("bucket", "part", "term", "id", "field").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"), *(F.first(c).alias(c) for c in same))
     grouped.drop("part").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
 
-    known = spark.read.parquet(f"{path}/postings").groupBy("term", "bucket").agg(F.count("*").alias("fields"), F.sum("tf").alias("occurrences"))
+    known = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("term", "bucket").agg(F.count("*").alias("fields"), F.sum("tf").alias("occurrences"))
     keys = F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in (("term", F.col("term")), ("folded", folded(F.col("term"))), ("stem", stemmed(F.col("term"))))))
     listed = known.select(F.explode(keys).alias("k"), "term", "bucket", "fields", "occurrences").select("k.kind", "k.key", "term", "bucket", "fields", "occurrences")
     listed.repartitionByRange(max(1, buckets // 8), "kind", "key").sortWithinPartitions("kind", "key").write.parquet(f"{path}/vocabulary")

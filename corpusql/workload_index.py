@@ -90,8 +90,8 @@ def stem_vocabulary(spark, sf_dir):
 def stemmed_postings(spark, sf_dir):
     """Stems of titles and texts as the index holds them: terms by stem, their positions running through both."""
     i = tables.docs_index(spark, sf_dir)
-    forms = spark.read.parquet(f"{i.path}/vocabulary").where("kind = 'stem'").select(F.col("key").alias("stem"), "term")
-    p = spark.read.parquet(f"{i.path}/postings").where(F.col("field") > stored.ID)
+    forms = i.vocabulary().where("kind = 'stem'").select(F.col("key").alias("stem"), "term")
+    p = i.all_postings().where(F.col("field") > stored.ID)
     counted = p.groupBy("term").agg(F.sum("tf").alias("n"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x + F.col("base") + 1)).alias("at"))
     by_stem = forms.join(stored.stop_words_out(counted, "term"), "term").groupBy("stem").agg(F.sum("n").alias("occurrences"), F.sum("at").alias("positions"))
     # A document counts once for a stem, in whatever forms and fields it holds it.
