@@ -111,11 +111,16 @@ def opened(spark: SparkSession, path: str) -> Index:
 _BUILT: dict[tuple, Index] = {}
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def of_table(spark: SparkSession, name: str, source: DataFrame, docs: Callable[[], DataFrame]) -> Index:
     """The index of ``docs``, which come from the files of ``source``: built where this session has none of these files."""
     files = source.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h"))
     key = (spark.sparkContext.applicationId, name, *map(str, files.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()))
-    if key not in _BUILT:
+    if key not in _BUILT or not _is_there(spark, f"{_BUILT[key].path}/stats/_SUCCESS"):
         path = shared_path(spark, f"index-{name}")
         _BUILT[key] = build(docs(), path)
     return _BUILT[key]

@@ -129,3 +129,19 @@ def test_a_look_up_reads_its_buckets_only(spark, tmp_path, monkeypatch):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
     assert scores(indexed.bm25(i, ["w1", "w2"])) == scores(lexical.bm25(docs, ["w1", "w2"]))
     assert spark.read.parquet(f"{i.path}/postings").select("bucket").distinct().count() > 5
+
+
+def test_an_index_is_built_once_and_again_where_it_is_gone(spark, tmp_path):
+    import shutil
+
+    rows = spark.createDataFrame([("1", "s", "t", "", "a b")], "id string, space string, type string, title string, text string")
+    rows.write.parquet(f"{tmp_path}/docs")
+    source = spark.read.parquet(f"{tmp_path}/docs")
+    calls = []
+    made = lambda: calls.append(1) or spark.read.parquet(f"{tmp_path}/docs")
+    first = index.of_table(spark, "x", source, made)
+    assert index.of_table(spark, "x", source, made) is first and len(calls) == 1
+    shutil.rmtree(first.path.removeprefix("file:"))
+    assert scores(indexed.bm25(index.of_table(spark, "x", source, made), ["a"])) and len(calls) == 2
+    rows.unionByName(rows).write.mode("overwrite").parquet(f"{tmp_path}/docs")
+    assert index.of_table(spark, "x", spark.read.parquet(f"{tmp_path}/docs"), made).n == 2
