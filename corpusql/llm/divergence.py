@@ -32,7 +32,7 @@ from corpusql.llm.common import cut, shuffle_partitions, table
 from corpusql.llm.textops import slices
 
 LEAST, ONE, RANKS = 3, 1_000_000_000, 200
-SLICE, SHARD, TILE, CELLS = 32 << 20, 200_000, 512, 2_000_000
+SLICE, SHARD, TILE, CELLS = 8 << 20, 200_000, 512, 2_000_000
 SMALL = 8 << 20
 _APART = np.array([not (0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
