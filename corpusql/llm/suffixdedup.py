@@ -44,6 +44,8 @@ PASSAGE, PASSAGE_GRAM = 51, 8
 UNIT = (1, 4)
 #: Tasks over which the contexts of one anchor are dealt while they are counted.
 SALTS = 8
+#: From so many rows of one context in a task on, further ones are dealt over SURPLUS tasks where verdicts return.
+LOCAL_MET, SURPLUS = 32, 32
 #: Different contexts of one anchor that a bucket takes; bytes of contexts in a bucket.
 HOT, BUCKET_BYTES = 4096, 2 << 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -99,10 +101,15 @@ def _long_enough(texts: DataFrame, depth: int) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame, depth: int, gram: int) -> DataFrame:
-    """(h, k1, k2, twice): the anchors of every text, each once, twice where its bytes have it again."""
+    """(h, salt, k1, k2, twice): the anchors of every text, each once.
+
+    twice: its bytes have it again, or another text of the task has it, so it matters whatever other tasks hold. A task
+    sends such an anchor once under salt 0, for the others to meet it, and its further rows under salts of their texts.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        sent = np.zeros(0, np.uint64)
         for batch in batches:
             k1, k2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             fresh = np.zeros(len(k1), bool)
@@ -120,10 +127,17 @@ def _anchor_rows(texts: DataFrame, depth: int, gram: int) -> DataFrame:
                         continue
                     new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
                     twice = (np.diff(np.append(new, len(h))) > 1) & (kind == 0)
-                    d = s.first + doc[new]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(k1[d]), pa.array(k2[d]), pa.array(twice)], ["h", "k1", "k2", "twice"])
+                    d, h = s.first + doc[new], h[new]
+                    found, at, which, texts_of = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                    told = np.isin(found, sent)
+                    met = (texts_of > 1) | told
+                    surplus = met[which]
+                    surplus[at[~told]] = False
+                    salt = np.where(surplus, 1 + (k1[d] & 0x3FFFFFFF), 0).astype(np.int32)
+                    sent = np.concatenate([sent, found[met & ~told]])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(k1[d]), pa.array(k2[d]), pa.array(twice | met[which])], ["h", "salt", "k1", "k2", "twice"])
 
-    return _long_enough(texts, depth).select("k1", "k2", "text").mapInArrow(each, "h bigint, k1 bigint, k2 bigint, twice boolean")
+    return _long_enough(texts, depth).select("k1", "k2", "text").mapInArrow(each, "h bigint, salt int, k1 bigint, k2 bigint, twice boolean")
 
 
 def _once(texts: DataFrame, depth: int) -> DataFrame:
@@ -142,11 +156,11 @@ def _once(texts: DataFrame, depth: int) -> DataFrame:
 
 
 def _contexts(held: DataFrame, depth: int, gram: int) -> DataFrame:
-    """A row for each context of each text; the bytes only once for equal contexts of a task. lead: starts before 0."""
-    schema = "kind int, k1 bigint, k2 bigint, h bigint, c1 bigint, c2 bigint, start bigint, starts int, bytes binary"
+    """A row for each context of each text; the bytes only once for equal contexts of a task, salt 0 for the first of them."""
+    schema = "kind int, k1 bigint, k2 bigint, h bigint, c1 bigint, c2 bigint, start bigint, starts int, salt int, bytes binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: dict[bytes, int] = {}
         for batch in batches:
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             wanted = batch.column(3)
@@ -159,14 +173,15 @@ def _contexts(held: DataFrame, depth: int, gram: int) -> DataFrame:
                         for i in a + np.flatnonzero(np.isin(h[a:b], want)):
                             data = own.data[low[i] : high[i] + length].astype(np.uint32 if kind else np.uint8).tobytes()
                             name = hashlib.blake2b(data, digest_size=16, person=bytes([kind])).digest()
-                            fresh = name not in seen
-                            seen.add(name)
+                            before = seen.get(name, 0)
+                            seen[name] = before + 1
+                            salt = 0 if before < LOCAL_MET else 1 + k1[s.first + d] % SURPLUS
                             c1, c2 = int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
-                            rows.append((kind, k1[s.first + d], k2[s.first + d], int(h[i].view(np.int64)), c1, c2, int(low[i] - own.offsets[d]), int(high[i] - low[i]) + 1, data if fresh else None))
+                            rows.append((kind, k1[s.first + d], k2[s.first + d], int(h[i].view(np.int64)), c1, c2, int(low[i] - own.offsets[d]), int(high[i] - low[i]) + 1, salt, None if before else data))
                 if rows:
                     columns = list(zip(*rows, strict=True))
-                    kinds = [pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "k1", "k2", "h", "c1", "c2", "start", "starts", "bytes"])
+                    kinds = [pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "k1", "k2", "h", "c1", "c2", "start", "starts", "salt", "bytes"])
 
     return held.mapInArrow(each, schema)
 
@@ -249,10 +264,10 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT,
     spark = docs.sparkSession
     texts = _texts(docs)
     # Read twice, moved once: both readings ask for the same rows and columns, so Spark makes the exchange once.
-    rows = _anchor_rows(texts, depth, gram).where("h is not null and k1 is not null and k2 is not null").repartition(F.col("h"))
-    texts_of = rows.groupBy("h").agg(*(f(k).alias(f.__name__ + k) for f in (F.min, F.max) for k in ("k1", "k2")), F.max("twice").alias("twice"))
-    shared = texts_of.where("mink1 < maxk1 or mink2 < maxk2 or twice").select("h")
-    wanted = rows.join(shared, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "twice")).alias("hs")).select("k1", "k2", F.col("hs.h").alias("hs"))
+    rows = _anchor_rows(texts, depth, gram).where("h is not null and k1 is not null and k2 is not null").repartition(F.col("h"), F.col("salt"))
+    texts_of = rows.groupBy("h", "salt").agg(*(f(k).alias(f.__name__ + k) for f in (F.min, F.max) for k in ("k1", "k2")), F.max("twice").alias("twice"))
+    shared = texts_of.where("mink1 < maxk1 or mink2 < maxk2 or twice").select("h", "salt")
+    wanted = rows.join(shared, ["h", "salt"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "twice")).alias("hs")).select("k1", "k2", F.col("hs.h").alias("hs"))
     path = shared_path(spark, "suffix-texts")
     _once(texts, depth).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).write.parquet(path)
     held = spark.read.parquet(path)
@@ -276,7 +291,9 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT,
     twice = strings.groupBy("kind", "s1", "s2").agg(F.count("*").alias("met"), F.min("low").alias("low"), F.max("high").alias("high")).where(met).select("s1", "s2")
     of_hot = strings.join(twice, ["s1", "s2"]).groupBy("c1", "c2").agg(F.flatten(F.collect_list(F.array("at", "at"))).alias("runs"))
     verdicts = verdicts.unionByName(of_hot).unionByName(whole)
-    per = contexts.select("kind", "k1", "k2", "c1", "c2", "start").join(verdicts, ["c1", "c2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "start", "runs")).alias("found"))
+    often = names.where(F.col("met") > LOCAL_MET).select("c1", "c2", F.lit(SURPLUS).alias("copies"))
+    verdicts = verdicts.join(often, ["c1", "c2"], "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(copies, 0))"))).drop("copies")
+    per = contexts.select("kind", "k1", "k2", "c1", "c2", "start", "salt").join(verdicts, ["c1", "c2", "salt"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "start", "runs")).alias("found"))
     results = held.select("k1", "k2", "text").join(per, ["k1", "k2"]).mapInArrow(_removed(depth), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint")
 
     n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

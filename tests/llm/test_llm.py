@@ -174,6 +174,29 @@ def test_suffix_dedup(docs, texts, hot):
     assert sum(x[4] > 0 for x in got.values()) > 20
 
 
+@pytest.mark.parametrize("hot", [1, 20, 4096])
+def test_suffix_dedup_of_a_frequent_passage(spark, hot):
+    """Many different texts of one task hold one passage, so its anchors and contexts are dealt over several tasks."""
+    depth, rng = 48, random.Random(11)
+    draw = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passage, core = draw(130), draw(30)
+    rows = [draw(rng.randint(0, 60)) + passage + draw(rng.randint(0, 60)) for _ in range(90)]
+    rows += [draw(40) + core + draw(40) for _ in range(60)] + ["ab" * 90, "ab" * 70, *rows[:2]]
+    met, data = collections.Counter(), dict(enumerate(t.encode() for t in rows))
+    for b in data.values():
+        met.update(b[p : p + depth] for p in range(len(b) - depth + 1))
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: r for r in suffixdedup.dedup(frame, depth=depth, gram=16, hot=hot).collect()}
+    assert len(got) == len(data)
+    for i, b in data.items():
+        gone = bytearray(len(b))
+        for p in range(len(b) - depth + 1):
+            if met[b[p : p + depth]] > 1:
+                gone[p : p + depth] = b"\1" * depth
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(gone), hashlib.sha256(kept).hexdigest())
+
+
 def test_cover_shifts():
     for a in range(suffixes.V):
         for b in range(suffixes.V):
