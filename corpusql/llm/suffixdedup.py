@@ -7,8 +7,10 @@
    once, before any shuffle; a context met twice is repeated whole.
 3. Suffix buckets. Contexts are dealt by anchor into buckets of bounded size; each bucket's suffixes are sorted by
    difference cover, block by block (see suffixes), and neighbours that agree on 400 bytes are repeated. An anchor in
-   more than HOT different contexts would overfill a bucket: its strings are counted one by one instead, by two 64-bit
-   hashes, as an ordinary aggregation.
+   more than HOT different contexts would overfill a bucket, so a longer core takes its place: its strings are parted by
+   how far they begin before it, into halves, quarters and so on, and the bytes that all strings of a part have in common
+   name the bucket. Pieces of contexts that are equal are one piece. The last parts have one start each, whose core is
+   the whole string.
 4. Verdicts go back from contexts to texts, and each text's spans are united.
 
 Texts are keyed by two 64-bit hashes, and equal texts are handled once: of two or more, every byte is covered.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from corpusql.llm.common import shared_path, shuffle_partitions, table
 from corpusql.llm.suffixes import repeated
-from corpusql.llm.textops import Slice, WordSlice, mix, slices, spans_union
+from corpusql.llm.textops import Slice, WordSlice, slices, spans_union
 
 DEPTH, GRAM = 400, 128
 #: Words of a passage that repeats across documents, and of its anchor; no word has less than a byte and a blank.
@@ -51,12 +53,12 @@ HOT, BUCKET_BYTES = 4096, 2 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def anchors(s: Slice, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash, first start, last start) of each anchor of a slice; starts are positions in the slice."""
+def anchors(s: Slice, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(document, hash, first start, last start, own place) of each anchor of a slice, all positions in the slice."""
     n, width = len(s.data), depth - gram + 1
     empty = np.zeros(0, np.int64)
     if n < depth:
-        return empty, np.zeros(0, np.uint64), empty, empty
+        return empty, np.zeros(0, np.uint64), empty, empty, empty
     s.sums(fold=False)
     at, chosen = [], []
     ends = np.repeat(s.offsets[1:], np.diff(s.offsets))
@@ -75,12 +77,12 @@ def anchors(s: Slice, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray,
         chosen.append((low[fits] & _LOW).astype(np.int64) + a)
     at, chosen = np.concatenate(at), np.concatenate(chosen)
     if not len(at):
-        return empty, np.zeros(0, np.uint64), empty, empty
+        return empty, np.zeros(0, np.uint64), empty, empty, empty
     doc = np.searchsorted(s.offsets, at, "right") - 1
     new = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])))
     last = np.append(new[1:], len(at)) - 1
     where = chosen[new]
-    return doc[new], s.hashes(where, where + gram), at[new], at[last]
+    return doc[new], s.hashes(where, where + gram), at[new], at[last], where
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -92,8 +94,8 @@ def _both(s: Slice, depth: int, gram: int) -> Iterator[tuple[int, int, Slice, tu
     """(kind, string length, slice, anchors) of the bytes of a slice and of its words; hashes of the kinds differ."""
     yield 0, depth, s, anchors(s, depth, gram)
     words = WordSlice(s)
-    doc, h, low, high = anchors(words, PASSAGE, PASSAGE_GRAM)
-    yield 1, PASSAGE, words, (doc, h ^ np.uint64(0x5851F42D4C957F2D), low, high)
+    doc, h, *places = anchors(words, PASSAGE, PASSAGE_GRAM)
+    yield 1, PASSAGE, words, (doc, h ^ np.uint64(0x5851F42D4C957F2D), *places)
 
 
 def _long_enough(texts: DataFrame, depth: int) -> DataFrame:
@@ -118,7 +120,7 @@ def _anchor_rows(texts: DataFrame, depth: int, gram: int) -> DataFrame:
                     seen.add(key)
                     fresh[i] = True
             for s in slices(batch.column(2)):
-                for kind, _, _, (doc, h, _, _) in _both(s, depth, gram):
+                for kind, _, _, (doc, h, *_) in _both(s, depth, gram):
                     own = fresh[s.first + doc]
                     doc, h = doc[own], h[own]
                     order = np.lexsort((h, doc))
@@ -155,9 +157,18 @@ def _once(texts: DataFrame, depth: int) -> DataFrame:
     return _long_enough(texts, depth).select("k1", "k2", "text").mapInArrow(each, "k1 bigint, k2 bigint, text string")
 
 
+def _name(kind: int, data: bytes) -> tuple[bytes, int, int]:
+    """The name of a context or piece, and as two whole numbers."""
+    name = hashlib.blake2b(data, digest_size=16, person=bytes([kind])).digest()
+    return name, int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
+
+
 def _contexts(held: DataFrame, depth: int, gram: int) -> DataFrame:
-    """A row for each context of each text; the bytes only once for equal contexts of a task, salt 0 for the first of them."""
-    schema = "kind int, k1 bigint, k2 bigint, h bigint, c1 bigint, c2 bigint, start bigint, starts int, salt int, bytes binary"
+    """A row for each context of each text; the bytes only once for equal contexts of a task, salt 0 for the first of them.
+
+    lead: the anchor's place in the context, in positions.
+    """
+    schema = "kind int, k1 bigint, k2 bigint, h bigint, c1 bigint, c2 bigint, start bigint, starts int, lead int, salt int, bytes binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -166,22 +177,21 @@ def _contexts(held: DataFrame, depth: int, gram: int) -> DataFrame:
             wanted = batch.column(3)
             for s in slices(batch.column(2)):
                 rows = []
-                for kind, length, own, (doc, h, low, high) in _both(s, depth, gram):
+                for kind, length, own, (doc, h, low, high, where) in _both(s, depth, gram):
                     for d in range(s.n_docs):
                         a, b = np.searchsorted(doc, [d, d + 1])
                         want = wanted[s.first + d].values.to_numpy().view(np.uint64)
                         for i in a + np.flatnonzero(np.isin(h[a:b], want)):
                             data = own.data[low[i] : high[i] + length].astype(np.uint32 if kind else np.uint8).tobytes()
-                            name = hashlib.blake2b(data, digest_size=16, person=bytes([kind])).digest()
+                            name, c1, c2 = _name(kind, data)
                             before = seen.get(name, 0)
                             seen[name] = before + 1
                             salt = 0 if before < LOCAL_MET else 1 + k1[s.first + d] % SURPLUS
-                            c1, c2 = int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
-                            rows.append((kind, k1[s.first + d], k2[s.first + d], int(h[i].view(np.int64)), c1, c2, int(low[i] - own.offsets[d]), int(high[i] - low[i]) + 1, salt, None if before else data))
+                            rows.append((kind, k1[s.first + d], k2[s.first + d], int(h[i].view(np.int64)), c1, c2, int(low[i] - own.offsets[d]), int(high[i] - low[i]) + 1, int(where[i] - low[i]), salt, None if before else data))
                 if rows:
                     columns = list(zip(*rows, strict=True))
-                    kinds = [pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "k1", "k2", "h", "c1", "c2", "start", "starts", "salt", "bytes"])
+                    kinds = [pa.int32(), *[pa.int64()] * 6, *[pa.int32()] * 3, pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "k1", "k2", "h", "c1", "c2", "start", "starts", "lead", "salt", "bytes"])
 
     return held.mapInArrow(each, schema)
 
@@ -202,7 +212,7 @@ def _sorted_bucket(depth: int):
             hit = repeated(data, begin[owner] + within, depth)
         owner, within = owner[hit], within[hit]
         if not len(owner):
-            return pd.DataFrame({"c1": [], "c2": [], "runs": []})
+            return pd.DataFrame({"c1": [], "c2": [], "runs": []}, dtype=object)
         new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (within[1:] != within[:-1] + 1)))
         last = np.append(new[1:], len(owner)) - 1
         runs = pd.DataFrame({"o": owner[new], "a": within[new], "b": within[last]})
@@ -212,21 +222,65 @@ def _sorted_bucket(depth: int):
     return each
 
 
-def _strings(hot: DataFrame, depth: int) -> DataFrame:
-    """Every string of the contexts of hot anchors, by two hashes."""
+def _pieces(hot: DataFrame, size: tuple[int, int], depth: int) -> DataFrame:
+    """Contexts of hot anchors by parts: starts that lie q * size to (q + 1) * size - 1 before the anchor are one piece.
+
+    h names anchor, part and core, so equal strings of one anchor have one h. p1, p2 and at: the context that a piece is
+    of, and its first start there. The bytes come once for equal pieces of a task.
+    """
+    schema = "kind int, p1 bigint, p2 bigint, at bigint, h bigint, c1 bigint, c2 bigint, starts int, lead int, low bigint, high bigint, bytes binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            for kind, c1, c2, starts, low, high, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = Slice(0, np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-                s.sums(fold=False)
-                at, length = np.arange(starts) * UNIT[kind], PASSAGE * UNIT[1] if kind else depth
-                one = s.hashes(at, at + length) ^ np.uint64(kind)
-                two = s.hashes(at, at + length // 2) ^ (mix(s.hashes(at + length // 2, at + length)) << np.uint64(1))
-                same = [pa.array(np.full(starts, x)) for x in (c1, c2, low, high)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(starts, kind, np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *same, pa.array(np.arange(starts))], ["kind", "s1", "s2", "c1", "c2", "low", "high", "at"])
+            rows = []
+            for kind, h, p1, p2, starts, lead, low, high, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                unit, length, wide = UNIT[kind], PASSAGE if kind else depth, size[kind]
+                for q in range((lead - starts + 1) // wide, lead // wide + 1):
+                    first, last = max(0, lead - q * wide - wide + 1), min(starts - 1, lead - q * wide)
+                    core = data[(lead - q * wide) * unit : (lead - q * wide - wide + 1 + length) * unit]
+                    own = data[first * unit : (last + length) * unit]
+                    key = hashlib.blake2b(core, digest_size=8, key=f"{h} {q} {wide}".encode()).digest()
+                    name, c1, c2 = _name(kind, own)
+                    fresh = name not in seen
+                    seen.add(name)
+                    rows.append((kind, p1, p2, first, int.from_bytes(key, "little", signed=True), c1, c2, last - first + 1, lead - first, low, high, own if fresh else None))
+            if rows:
+                kinds = [pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                names = ["kind", "p1", "p2", "at", "h", "c1", "c2", "starts", "lead", "low", "high", "bytes"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return hot.select("kind", "h", "c1", "c2", "starts", "lead", "low", "high", "bytes").mapInArrow(each, schema)
 
-    return hot.select("kind", "c1", "c2", "starts", "low", "high", "bytes").mapInArrow(each, "kind int, s1 bigint, s2 bigint, c1 bigint, c2 bigint, low bigint, high bigint, at bigint")
+
+def _verdicts(contexts: DataFrame, depth: int, gram: int, hot: int, bucket_bytes: int, level: int = 0) -> DataFrame:
+    """(c1, c2, runs): which starts of each context are repeated, as first and last of runs. A context may have several rows."""
+    spark = contexts.sparkSession
+    # Different contexts, how often each was met and by which texts, and how many its anchor has.
+    names = contexts.groupBy("kind", "h", "c1", "c2").agg(F.count("*").alias("met"), F.max("starts").alias("starts"), F.min("low").alias("low"), F.max("high").alias("high"))
+    many = names.groupBy("h").agg(F.count("*").alias("different")).where("different > 1")
+    many = many.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    salted = names.withColumn("salt", F.pmod("c1", F.lit(SALTS)).cast("int")).join(many, ["h", "salt"]).select("h", "c1", "c2", "low", "high", "different")
+    met = F.when(F.col("kind") == 0, F.col("met") > 1).otherwise(F.col("low") < F.col("high"))
+    whole = names.where(met).select("c1", "c2", F.array(F.lit(0).cast("long"), (F.col("starts") - 1).cast("long")).alias("runs"))
+    held = contexts.where("bytes is not null")
+    open_ = held.select("kind", "h", "c1", "c2", "starts", "lead", "bytes").join(salted, ["h", "c1", "c2"])
+    per_anchor = held.groupBy("h").agg(F.sum(F.octet_length("bytes")).alias("size"), F.count("*").alias("n"))
+    size, most = per_anchor.agg(F.sum("size"), F.max("n")).first()
+    buckets = max(shuffle_partitions(spark), -(-(size or 0) // bucket_bytes))
+    parts = tuple(-(-width // 2 ** (level + 1)) for width in (depth - gram + 1, PASSAGE - PASSAGE_GRAM + 1))
+    single = level > 0 and 2**level >= max(depth - gram, PASSAGE - PASSAGE_GRAM) + 1  # pieces of one start: a core is the string
+    deeper = (most or 0) > hot and not single
+    cold = (open_.where(F.col("different") <= hot) if deeper else open_).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    verdicts = whole.unionByName(cold.groupBy("bucket", "kind").applyInPandas(_sorted_bucket(depth), "c1 bigint, c2 bigint, runs array<bigint>"))
+    if deeper:
+        path = shared_path(spark, "suffix-pieces")
+        _pieces(open_.where(F.col("different") > hot).dropDuplicates(["c1", "c2"]), parts, depth).write.parquet(path)
+        pieces = spark.read.parquet(path)
+        found = _verdicts(pieces, depth, gram, hot, bucket_bytes, level + 1)
+        back = pieces.select("c1", "c2", "p1", "p2", "at").join(found, ["c1", "c2"])
+        verdicts = verdicts.unionByName(back.select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), F.expr("transform(runs, x -> x + at)").alias("runs")))
+    return verdicts
 
 
 def _united(found: list[dict], kind: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,23 +329,8 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT,
     _contexts(held.select("k1", "k2", "text", "hs"), depth, gram).write.parquet(path)
     contexts = spark.read.parquet(path)
 
-    # Different contexts, how often each was met and by which texts, and how many its anchor has.
-    names = contexts.groupBy("kind", "h", "c1", "c2").agg(F.count("*").alias("met"), F.max("starts").alias("starts"), F.min("k1").alias("low"), F.max("k1").alias("high"))
-    many = names.groupBy("h").agg(F.count("*").alias("different")).where("different > 1")
-    many = many.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-    salted = names.withColumn("salt", F.pmod("c1", F.lit(SALTS)).cast("int")).join(many, ["h", "salt"]).select("h", "c1", "c2", "low", "high", "different")
-    met = F.when(F.col("kind") == 0, F.col("met") > 1).otherwise(F.col("low") < F.col("high"))
-    whole = names.where(met).select("c1", "c2", F.array(F.lit(0).cast("long"), (F.col("starts") - 1).cast("long")).alias("runs"))
-    open_ = contexts.where("bytes is not null").select("kind", "h", "c1", "c2", "starts", "bytes").join(salted, ["h", "c1", "c2"])
-    size = contexts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), -(-size // bucket_bytes))
-    cold = open_.where(F.col("different") <= hot).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    verdicts = cold.groupBy("bucket", "kind").applyInPandas(_sorted_bucket(depth), "c1 bigint, c2 bigint, runs array<bigint>")
-    strings = _strings(open_.where(F.col("different") > hot).dropDuplicates(["c1", "c2"]), depth)
-    twice = strings.groupBy("kind", "s1", "s2").agg(F.count("*").alias("met"), F.min("low").alias("low"), F.max("high").alias("high")).where(met).select("s1", "s2")
-    of_hot = strings.join(twice, ["s1", "s2"]).groupBy("c1", "c2").agg(F.flatten(F.collect_list(F.array("at", "at"))).alias("runs"))
-    verdicts = verdicts.unionByName(of_hot).unionByName(whole)
-    often = names.where(F.col("met") > LOCAL_MET).select("c1", "c2", F.lit(SURPLUS).alias("copies"))
+    verdicts = _verdicts(contexts.withColumn("low", F.col("k1")).withColumn("high", F.col("k1")), depth, gram, hot, bucket_bytes)
+    often = contexts.where("salt > 0").select("c1", "c2", F.lit(SURPLUS).alias("copies")).distinct()
     verdicts = verdicts.join(often, ["c1", "c2"], "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(copies, 0))"))).drop("copies")
     per = contexts.select("kind", "k1", "k2", "c1", "c2", "start", "salt").join(verdicts, ["c1", "c2", "salt"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "start", "runs")).alias("found"))
     results = held.select("k1", "k2", "text").join(per, ["k1", "k2"]).mapInArrow(_removed(depth), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint")
