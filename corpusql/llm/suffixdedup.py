@@ -8,8 +8,8 @@
 3. Suffix buckets. Contexts are dealt by anchor into buckets of bounded size; each bucket's suffixes are sorted by
    difference cover, block by block (see suffixes), and neighbours that agree on 400 bytes are repeated. An anchor in
    more than HOT different contexts would overfill a bucket, so a longer core takes its place: its strings are parted by
-   how far they begin before it, into halves, quarters and so on, and the bytes that all strings of a part have in common
-   name the bucket. Pieces of contexts that are equal are one piece. The last parts have one start each, whose core is
+   how far they begin before it, into PARTS parts, each of these again and so on, and the bytes that all strings of a part
+   have in common name the bucket. Pieces of contexts that are equal are one piece. The last parts have one start each, whose core is
    the whole string.
 4. Verdicts go back from contexts to texts, and each text's spans are united.
 
@@ -48,6 +48,8 @@ UNIT = (1, 4)
 SALTS = 8
 #: From so many rows of one context in a task on, further ones are dealt over SURPLUS tasks where verdicts return.
 LOCAL_MET, SURPLUS = 32, 32
+#: Into so many parts the strings of a frequent anchor, or of a longer core, are parted.
+PARTS = 8
 #: Different contexts of one anchor that a bucket takes; bytes of contexts in a bucket.
 HOT, BUCKET_BYTES = 4096, 2 << 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -264,18 +266,25 @@ def _verdicts(contexts: DataFrame, depth: int, gram: int, hot: int, bucket_bytes
     met = F.when(F.col("kind") == 0, F.col("met") > 1).otherwise(F.col("low") < F.col("high"))
     whole = names.where(met).select("c1", "c2", F.array(F.lit(0).cast("long"), (F.col("starts") - 1).cast("long")).alias("runs"))
     held = contexts.where("bytes is not null")
-    open_ = held.select("kind", "h", "c1", "c2", "starts", "lead", "bytes").join(salted, ["h", "c1", "c2"])
     per_anchor = held.groupBy("h").agg(F.sum(F.octet_length("bytes")).alias("size"), F.count("*").alias("n"))
     size, most = per_anchor.agg(F.sum("size"), F.max("n")).first()
     buckets = max(shuffle_partitions(spark), -(-(size or 0) // bucket_bytes))
-    parts = tuple(-(-width // 2 ** (level + 1)) for width in (depth - gram + 1, PASSAGE - PASSAGE_GRAM + 1))
-    single = level > 0 and 2**level >= max(depth - gram, PASSAGE - PASSAGE_GRAM) + 1  # pieces of one start: a core is the string
-    deeper = (most or 0) > hot and not single
-    cold = (open_.where(F.col("different") <= hot) if deeper else open_).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    widths = depth - gram + 1, PASSAGE - PASSAGE_GRAM + 1
+    deeper = (most or 0) > hot and PARTS**level < max(widths)  # else pieces have one start, and a core is the string
+    if deeper:
+        path = shared_path(spark, "suffix-frequent")
+        per_anchor.where(F.col("n") > hot).select("h").write.parquet(path)
+        frequent = spark.read.parquet(path)
+        held = held.join(frequent, "h", "left_anti")
+    open_ = held.select("kind", "h", "c1", "c2", "starts", "bytes").join(salted, ["h", "c1", "c2"])
+    cold = open_.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
     verdicts = whole.unionByName(cold.groupBy("bucket", "kind").applyInPandas(_sorted_bucket(depth), "c1 bigint, c2 bigint, runs array<bigint>"))
     if deeper:
         path = shared_path(spark, "suffix-pieces")
-        _pieces(open_.where(F.col("different") > hot).dropDuplicates(["c1", "c2"]), parts, depth).write.parquet(path)
+        of_frequent = contexts.join(frequent, "h", "left_semi").groupBy("kind", "h", "c1", "c2").agg(
+            F.max("starts").alias("starts"), F.max("lead").alias("lead"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("bytes", ignorenulls=True).alias("bytes")
+        )
+        _pieces(of_frequent, tuple(-(-w // PARTS ** (level + 1)) for w in widths), depth).write.parquet(path)
         pieces = spark.read.parquet(path)
         found = _verdicts(pieces, depth, gram, hot, bucket_bytes, level + 1)
         back = pieces.select("c1", "c2", "p1", "p2", "at").join(found, ["c1", "c2"])
