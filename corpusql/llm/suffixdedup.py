@@ -292,10 +292,15 @@ def _verdicts(contexts: DataFrame, depth: int, gram: int, hot: int, bucket_bytes
     return verdicts
 
 
-def _united(found: list[dict], kind: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The union of the repeated strings of one kind in one text."""
-    flat = [(x["start"] + a, x["start"] + b + length) for x in found if x["kind"] == kind for a, b in zip(x["runs"][::2], x["runs"][1::2], strict=True)]
-    return spans_union(np.array([x[0] for x in flat], np.int64), np.array([x[1] for x in flat], np.int64))
+def _spans(found: pa.ListArray, depth: int) -> tuple[np.ndarray, ...]:
+    """(row, kind, start, end) of the repeated strings of a batch of texts, from the lists of what was found in each."""
+    each = found.flatten()
+    kind, start, runs = (each.field(k) for k in range(3))
+    edges = runs.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+    owner = np.repeat(np.arange(len(each)), runs.value_lengths().to_numpy(zero_copy_only=False) // 2)
+    row = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy(zero_copy_only=False))[owner]
+    kind, start = kind.to_numpy(zero_copy_only=False)[owner], start.to_numpy(zero_copy_only=False)[owner]
+    return row, kind, start + edges[:, 0], start + edges[:, 1] + np.where(kind == 0, depth, PASSAGE)
 
 
 def _removed(depth: int):
@@ -304,9 +309,15 @@ def _removed(depth: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k1, k2, text, found in (tuple(batch.column(k)[i].as_py() for k in range(4)) for i in range(batch.num_rows)):
-                data = text.encode()
-                (a, b), (c, d) = _united(found, 0, depth), _united(found, 1, PASSAGE)
+            row, kind, start, end = _spans(batch.column(3), depth)
+            order = np.lexsort((kind, row))
+            start, end = start[order], end[order]
+            cuts = np.searchsorted((row * 2 + kind)[order], np.arange(2 * batch.num_rows + 1))
+            keys = (batch.column(k).to_pylist() for k in range(2))
+            for i, (k1, k2, text) in enumerate(zip(*keys, batch.column(2), strict=True)):
+                data = text.as_py().encode()
+                x, y, z = cuts[2 * i : 2 * i + 3]
+                (a, b), (c, d) = spans_union(start[x:y], end[x:y]), spans_union(start[y:z], end[y:z])
                 digest, at = hashlib.sha256(), 0
                 for i, j in zip(a.tolist(), b.tolist(), strict=True):
                     digest.update(data[at:i])
