@@ -46,44 +46,62 @@ def budget_cut(rows: DataFrame, size: str, order: str, budget: int, per: list[st
     return running(rows, size, [order], per).where(F.col("running") <= budget)
 
 
-def block_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = 20_000, query_block: int = 2_000) -> DataFrame:
+#: Numbers in one task's matrices: a block's vectors, and the scores of a few queries against it.
+CELLS = 4_000_000
+
+
+def block_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = 20_000, query_block: int = 20_000) -> DataFrame:
     """For each query (query_id, q) the k nearest of all chunks (id, embedding) by cosine: query_id, id, score, rank.
 
-    Both sides are dealt into blocks of bounded size; each pair of blocks is one matrix product that returns k rows a
-    query, and these are ranked by query. A null vector is near nothing and has nothing near it; vectors of different width
+    Both sides are dealt into blocks of bounded size, of fewer rows where vectors are wide; each pair of blocks gives k rows
+    a query, and these are ranked by query. A null vector is near nothing and has nothing near it; vectors of different width
     are not compared.
     """
     chunks, queries = chunks.where("embedding is not null"), queries.where("q is not null")
-    blocks = max(1, -(-chunks.count() // block))
-    query_blocks = max(1, -(-queries.count() // query_block))
+    rows, width = chunks.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    most = max(1, CELLS // max(1, width))
+    blocks = max(1, -(-rows // min(block, most)))
+    query_blocks = max(1, -(-queries.count() // min(query_block, most)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = chunks.select("id", V.doubles(F.col("embedding")).alias("v"), F.size("embedding").alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), each(query_blocks).alias("qb"))
-    q = queries.select("query_id", V.doubles(F.col("q")).alias("v"), F.size("q").alias("w"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"), each(blocks).alias("b"))
+    c = chunks.select("id", F.col("embedding").alias("v"), F.size("embedding").alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), each(query_blocks).alias("qb"))
+    q = queries.select("query_id", F.col("q").alias("v"), F.size("q").alias("w"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"), each(blocks).alias("b"))
 
     return near_blocks(c, q, ["b", "qb", "w"], k)
 
 
 def near_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k nearest rows (id, v) by cosine of each query (query_id, v), of those that share its ``keys``: query_id, id, score, rank."""
-
-    def unit(vectors) -> np.ndarray:
-        m = np.array(vectors.tolist(), np.float64)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        left = left.sort_values("id")
-        scores = np.round(unit(right["v"]) @ unit(left["v"]).T, 6)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(right["query_id"].to_numpy(), best.shape[1]), "id": left["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
-
-    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(near, "query_id bigint, id bigint, score double")
+    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(lambda left, right: near(left, right, k), "query_id bigint, id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.array(vectors.tolist(), np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def near(left: pd.DataFrame, right: pd.DataFrame, k: int, cells: int = CELLS) -> pd.DataFrame:
+    """The k nearest of ``left`` (id, v) for each of ``right`` (query_id, v), so few queries at a time that their scores are at most ``cells``."""
+    if left.empty or right.empty:
+        return pd.DataFrame({"query_id": [], "id": [], "score": []})
+    left = left.sort_values("id")
+    ids, units, asked, found = left["id"].to_numpy(), _unit(left["v"]).T, right["query_id"].to_numpy(), []
+    step = max(1, cells // len(ids))
+    for at in range(0, len(asked), step):
+        scores = np.round(_unit(right["v"].iloc[at : at + step]) @ units, 6)
+        far = np.where(np.isnan(scores), np.inf, -scores)
+        # Up to the k-th score and all its ties, from which the least ids are taken.
+        q, i = np.nonzero(far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k]) if k < len(ids) else np.nonzero(np.ones(far.shape, bool))
+        order = np.lexsort((i, far[q, i], q))
+        q, i = q[order], i[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, i = q[kept], i[kept]
+        found.append(pd.DataFrame({"query_id": asked[at + q], "id": ids[i], "score": scores[q, i]}))
+    return pd.concat(found)
+
+
 def neighbors(edges: DataFrame, node: int | str, limit: int) -> DataFrame:
     return edges.where(F.col("src") == node).orderBy("dst", "kind").limit(limit)
 

@@ -154,13 +154,13 @@ def stored_lists(spark, path: str) -> tuple[DataFrame, np.ndarray, int]:
     return spark.read.parquet(f"{path}/lists"), np.array([r.centre for r in centres]), centres[0].probes
 
 
-def probe_batch(spark, path: str, queries: DataFrame, k: int, probes: int | None = None, block: int = 20_000) -> DataFrame:
+def probe_batch(spark, path: str, queries: DataFrame, k: int, probes: int | None = None, block: int = 20_000, query_block: int = 20_000) -> DataFrame:
     """For each query (query_id, q) the k nearest by cosine among the lists of its nearest centres: query_id, id, score, rank.
 
-    Queries meet rows list by list; a large list is dealt into blocks, each with all queries that probe it. The lists that no
+    Queries meet rows list by list; a large list is dealt into blocks, and so are the queries that probe it. The lists that no
     query probes are not read.
     """
-    from corpusql.operators.retrieval import near_blocks
+    from corpusql.operators.retrieval import CELLS, near_blocks
 
     index, centres, needed = stored_lists(spark, path)
     probes = probes or needed
@@ -170,15 +170,19 @@ def probe_batch(spark, path: str, queries: DataFrame, k: int, probes: int | None
         q = np.array(vectors.tolist(), np.float64)
         return pd.Series(list(np.argsort(_far(q, centres), axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
-    asked = queries.where("q is not null").select("query_id", V.doubles(F.col("q")).alias("v")).select("*", F.explode(nearest("v")).alias("list_id"))
+    most = max(1, CELLS // max(1, centres.shape[1]))
+    block, query_block = min(block, most), min(query_block, most)
+    queries = queries.where("q is not null")
+    query_blocks = F.lit(max(1, -(-queries.count() // query_block)))
+    asked = queries.select("query_id", F.col("q").alias("v"), F.pmod(F.xxhash64("query_id"), query_blocks).cast("int").alias("qb")).select("*", F.explode(nearest("v")).alias("list_id"))
     wanted = [r.list_id for r in asked.select("list_id").distinct().collect()]  # at most the number of lists
-    rows = index.where(F.col("list_id").isin(wanted)).select("id", V.doubles(F.col("embedding")).alias("v"), "list_id")
+    rows = index.where(F.col("list_id").isin(wanted)).select("id", F.col("embedding").alias("v"), "list_id")
     blocks = rows.groupBy("list_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
     blocks = {r.list_id: r["_blocks"] for r in blocks.collect()}  # a row a list
     many = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair)), F.col("list_id")), F.lit(1)) if blocks else F.lit(1)
-    left = rows.withColumn("b", F.pmod(F.xxhash64("id"), many).cast("int"))
+    left = rows.withColumn("b", F.pmod(F.xxhash64("id"), many).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), (query_blocks - 1).cast("int"))))
     right = asked.withColumn("b", F.explode(F.sequence(F.lit(0), many - 1)))
-    return near_blocks(left, right, ["list_id", "b"], k)
+    return near_blocks(left, right, ["list_id", "b", "qb"], k)
 
 
 def request_lines(texts: DataFrame, model: str) -> DataFrame:

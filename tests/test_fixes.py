@@ -144,3 +144,28 @@ def test_no_folder_is_made_up_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.shared_dir(Far)
+
+
+def test_scores_of_a_block_are_bounded():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from corpusql.operators import retrieval
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(-2, 3, (5000, 4)).astype(float)  # many ties
+    v[7] = 0
+    left = pd.DataFrame({"id": np.arange(5000)[::-1], "v": list(v)})
+    right = pd.DataFrame({"query_id": np.arange(400), "v": list(v[:400])})
+    tracemalloc.start()
+    got = retrieval.near(left, right, 10, cells=100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6  # all scores are 16 MB, and were copied three times
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+    scores = np.round(u[:400] @ u.T, 6)
+    want = [(q, i, s) for q in range(400) for s, i in sorted((-x, 4999 - k) for k, x in enumerate(scores[q]))[:10]]
+    assert [(q, i) for q, i, _ in want] == list(zip(got["query_id"], got["id"], strict=True))
