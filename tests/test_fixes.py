@@ -169,3 +169,20 @@ def test_scores_of_a_block_are_bounded():
     scores = np.round(u[:400] @ u.T, 6)
     want = [(q, i, s) for q in range(400) for s, i in sorted((-x, 4999 - k) for k, x in enumerate(scores[q]))[:10]]
     assert [(q, i) for q, i, _ in want] == list(zip(got["query_id"], got["id"], strict=True))
+
+
+def test_stem_edges_deal_a_hot_word(spark, monkeypatch):
+    from corpusql.operators import ranks
+
+    monkeypatch.setattr(ranks, "ROWS_IN_PART", 100)
+    nodes = spark.range(1000).select("id", F.array(F.lit("hot"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("words"))
+    names = spark.range(50).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise("s1").alias("stem"))
+    got = {}
+    for r in code.stem_edges(nodes, names, 8).collect():
+        got.setdefault(r.src, []).append(r.dst)
+    for k in range(1000):
+        near = [i for i in range(50) if i % 2 == 0 or k % 3 == 1][:8]
+        assert sorted(got[k]) == [i for i in near if i != k]
+    words = spark.range(1000).select(F.lit("hot").alias("stem"), F.col("id").alias("src"))
+    joined = ranks.dealt_join(words, names.limit(1), "stem", "src", parts=40)
+    assert joined.count() == 1000 and joined.groupBy(F.spark_partition_id()).count().count() > 3
