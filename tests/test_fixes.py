@@ -186,3 +186,13 @@ def test_stem_edges_deal_a_hot_word(spark, monkeypatch):
     words = spark.range(1000).select(F.lit("hot").alias("stem"), F.col("id").alias("src"))
     joined = ranks.dealt_join(words, names.limit(1), "stem", "src", parts=40)
     assert joined.count() == 1000 and joined.groupBy(F.spark_partition_id()).count().count() > 3
+
+
+def test_index_files_are_parsed_once(spark):
+    from corpusql.sources import files
+
+    texts = spark.createDataFrame([('[{"id": 1, "path": "a"}]',), (' {"2": ["b", null]}',), ("plain",), ("",), (None,)], "text string")
+    found = files.attachment_index(texts)
+    assert {(r.work_item, r.path) for r in found.collect()} == {("1", "a"), ("2", "b")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "from_json" in line]
