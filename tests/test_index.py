@@ -145,3 +145,14 @@ def test_an_index_is_built_once_and_again_where_it_is_gone(spark, tmp_path):
     assert scores(indexed.bm25(index.of_table(spark, "x", source, made), ["a"])) and len(calls) == 2
     rows.unionByName(rows).write.mode("overwrite").parquet(f"{tmp_path}/docs")
     assert index.of_table(spark, "x", spark.read.parquet(f"{tmp_path}/docs"), made).n == 2
+
+
+def test_a_frequent_term_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "TOKENS_IN_BUCKET", 100)
+    texts = [(str(k), "s", "t", "", "the " * 40 + f"w{k}") for k in range(30)]
+    docs = spark.createDataFrame(texts, "id string, space string, type string, title string, text string")
+    i = index.build(docs, f"{tmp_path}/i")
+    rows = i.all_postings().select("term", "id", "positions", F.input_file_name().alias("file")).where("term = 'the'").collect()
+    assert len(rows) == 30 and all(r.positions == list(range(40)) for r in rows)
+    assert len({r.file for r in rows}) > 1
+    assert scores(indexed.bm25(i, ["the", "w3"])) == scores(lexical.bm25(docs, ["the", "w3"]))
