@@ -9,6 +9,7 @@ from corpusql.functions import text as T
 from corpusql.functions import vectors as V
 from corpusql.jobs import index as stored
 from corpusql.operators import boolean, code, indexed, retrieval
+from corpusql.operators.ranks import ROWS_IN_PART, dealt_join
 from corpusql.registry import query
 from corpusql.session import table
 from corpusql.sources import tables
@@ -90,12 +91,16 @@ def stem_vocabulary(spark, sf_dir):
 def stemmed_postings(spark, sf_dir):
     """Stems of titles and texts as the index holds them: terms by stem, their positions running through both."""
     i = tables.docs_index(spark, sf_dir)
-    forms = i.vocabulary().where("kind = 'stem'").select(F.col("key").alias("stem"), "term")
+    stems = i.vocabulary().where("kind = 'stem'")
+    forms = stems.select(F.col("key").alias("stem"), "term")
     p = i.all_postings().where(F.col("field") > stored.ID)
     counted = p.groupBy("term").agg(F.sum("tf").alias("n"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x + F.col("base") + 1)).alias("at"))
     by_stem = forms.join(stored.stop_words_out(counted, "term"), "term").groupBy("stem").agg(F.sum("n").alias("occurrences"), F.sum("at").alias("positions"))
     # A document counts once for a stem, in whatever forms and fields it holds it.
-    docs = stored.stop_words_out(p.select("id", "term"), "term").join(forms, "term").groupBy("stem").agg(F.count_distinct("id").alias("docs"))
+    pairs = stored.stop_words_out(p.select("id", "term"), "term")
+    parts = (stems.agg(F.sum("fields")).first()[0] or 0) // ROWS_IN_PART + 1  # so a task's rows are bounded, and so is its memory
+    named = dealt_join(pairs, forms, "term", "id", stems.select("term", F.col("fields").alias("count")), parts).select("stem", "id")
+    docs = named.repartition(parts, "stem", "id").distinct().groupBy("stem").agg(F.count("id").alias("docs"))
     return by_stem.join(docs, "stem").select("stem", "occurrences", "docs", "positions")
 
 

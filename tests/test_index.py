@@ -156,3 +156,13 @@ def test_a_frequent_term_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
     assert len(rows) == 30 and all(r.positions == list(range(40)) for r in rows)
     assert len({r.file for r in rows}) > 1
     assert scores(indexed.bm25(i, ["the", "w3"])) == scores(lexical.bm25(docs, ["the", "w3"]))
+
+
+def test_stemmed_postings_with_frequent_terms(spark, monkeypatch):
+    from corpusql import workload_index
+    from corpusql.operators import ranks
+
+    want = {tuple(r) for r in workload_index.stemmed_postings(spark, "/root/testdata/sf0.001").collect()}
+    for module in (ranks, workload_index):
+        monkeypatch.setattr(module, "ROWS_IN_PART", 50)
+    assert {tuple(r) for r in workload_index.stemmed_postings(spark, "/root/testdata/sf0.001").collect()} == want
