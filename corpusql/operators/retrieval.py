@@ -71,35 +71,38 @@ def block_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = 20_00
 
 def near_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k nearest rows (id, v) by cosine of each query (query_id, v), of those that share its ``keys``: query_id, id, score, rank."""
-    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(lambda left, right: near(left, right, k), "query_id bigint, id bigint, score double")
+    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(nearest(k), "query_id bigint, id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), np.float64)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
-def near(left: pd.DataFrame, right: pd.DataFrame, k: int, cells: int = CELLS) -> pd.DataFrame:
-    """The k nearest of ``left`` (id, v) for each of ``right`` (query_id, v), so few queries at a time that their scores are at most ``cells``."""
-    if left.empty or right.empty:
-        return pd.DataFrame({"query_id": [], "id": [], "score": []})
-    left = left.sort_values("id")
-    ids, units, asked, found = left["id"].to_numpy(), _unit(left["v"]).T, right["query_id"].to_numpy(), []
-    step = max(1, cells // len(ids))
-    for at in range(0, len(asked), step):
-        scores = np.round(_unit(right["v"].iloc[at : at + step]) @ units, 6)
-        far = np.where(np.isnan(scores), np.inf, -scores)
-        # Up to the k-th score and all its ties, from which the least ids are taken.
-        q, i = np.nonzero(far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k]) if k < len(ids) else np.nonzero(np.ones(far.shape, bool))
-        order = np.lexsort((i, far[q, i], q))
-        q, i = q[order], i[order]
-        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
-        q, i = q[kept], i[kept]
-        found.append(pd.DataFrame({"query_id": asked[at + q], "id": ids[i], "score": scores[q, i]}))
-    return pd.concat(found)
+def nearest(k: int, cells: int = CELLS):
+    """A function of blocks: the k nearest of ``left`` (id, v) for each of ``right`` (query_id, v), so few queries at a time that their scores are at most ``cells``."""
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        m = np.array(vectors.tolist(), np.float64)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        left = left.sort_values("id")
+        ids, units, asked, found = left["id"].to_numpy(), unit(left["v"]).T, right["query_id"].to_numpy(), []
+        step = max(1, cells // len(ids))
+        for at in range(0, len(asked), step):
+            scores = np.round(unit(right["v"].iloc[at : at + step]) @ units, 6)
+            far = np.where(np.isnan(scores), np.inf, -scores)
+            # Up to the k-th score and all its ties, from which the least ids are taken.
+            q, i = np.nonzero(far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k]) if k < len(ids) else np.nonzero(np.ones(far.shape, bool))
+            order = np.lexsort((i, far[q, i], q))
+            q, i = q[order], i[order]
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, i = q[kept], i[kept]
+            found.append(pd.DataFrame({"query_id": asked[at + q], "id": ids[i], "score": scores[q, i]}))
+        return pd.concat(found)
+
+    return near
 
 
 def neighbors(edges: DataFrame, node: int | str, limit: int) -> DataFrame:

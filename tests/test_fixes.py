@@ -160,7 +160,7 @@ def test_scores_of_a_block_are_bounded():
     left = pd.DataFrame({"id": np.arange(5000)[::-1], "v": list(v)})
     right = pd.DataFrame({"query_id": np.arange(400), "v": list(v[:400])})
     tracemalloc.start()
-    got = retrieval.near(left, right, 10, cells=100_000)
+    got = retrieval.nearest(10, cells=100_000)(left, right)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8e6  # all scores are 16 MB, and were copied three times
